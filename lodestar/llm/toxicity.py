@@ -1,8 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 5).
 
 A logistic model on hashed words and word beginnings is trained with numpy from confirmed toxic texts (P) and
-texts whose labels are not looked at (U), minimising pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)): when the second
-term is below zero, the step goes up its gradient instead. pi is the share of toxic rows among the training
+texts whose labels are not looked at (U), minimising pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). pi is the share of toxic rows among the training
 labels. Labels tell the P rows and pi, nothing else; the score reads the text alone.
 
 The training sample is bounded: at most POSITIVES toxic and UNLABELLED other training rows, the first by a hash of
@@ -31,7 +30,7 @@ UNLABELLED = 14_000
 BITS = 20
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCS = 4  # sample texts that have a feature
-STEPS = 600  # at least
+STEPS = 1_000  # at least
 LEAST_Z = 5.0  # standard errors by which its share in P must be above that in U
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -52,7 +51,7 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.array([f for w in set(WORD.findall((text or "").lower())) for f in features_of(w)], np.int32))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 40, batch: int = 512, rate: float = 0.05, l1: float = 2e-5, beta: float = 0.0, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 120, batch: int = 512, rate: float = 0.1, l1: float = 5e-6, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU logistic model on presence features."""
     df = np.bincount(np.concatenate([np.zeros(0, np.int32), *positive, *unlabelled]), minlength=1 << BITS)
     share = [np.bincount(np.concatenate([np.zeros(0, np.int32), *part]), minlength=1 << BITS) / len(part) for part in (positive, unlabelled)]
@@ -83,10 +82,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             soft = lambda z: np.logaddexp(0, z)
             gap = soft(uz).mean() - prior * soft(pz).mean()  # R_u(-) - pi R_p(-)
             gp_minus, gu = -prior * sigmoid(pz) / len(pz), sigmoid(uz) / len(uz)
-            if gap >= -beta:
-                gp = prior * -sigmoid(-pz) / len(pz) + gp_minus
-            else:  # the corrected risk is negative: undo, by going up
-                gp, gu = -gp_minus, -gu
+            gp = prior * -sigmoid(-pz) / len(pz)
+            if gap >= 0:
+                gp = gp + gp_minus
+            else:  # the corrected risk of the negatives is below zero and counts as zero
+                gu = np.zeros_like(gu)
             g = np.bincount(pi_, gp[po], len(w)) + np.bincount(ui, gu[uo], len(w))
             gb = gp.sum() + gu.sum()
             t += 1
