@@ -13,6 +13,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -37,16 +38,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, en
 
     def run(batches):
         tok = tokens.tokenizer(name)
-        cache = tokens.Units(tok, lambda ids: np.array(ids, "<u4").tobytes())
+        cache = tokens.Units(tok, lambda ids: struct.pack(f"<{len(ids)}I", *ids), folded=True)
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             out = ([], [], [], [], [])
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                text = text or ""
-                if len(text) > tokens.HUGE:
-                    ids = cache.of(tokens.spliced(tok, text)) + last
-                else:
-                    ids = b"".join(cache.values_of(WORDS.findall(text))) + last
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for doc, parts in zip(b.column("doc_id").to_pylist(), tokens.encoded(tok, cache, texts, WORDS, None), strict=True):
+                ids = b"".join(parts) + last
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for col, v in zip(out, (doc, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

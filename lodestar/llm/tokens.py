@@ -14,6 +14,7 @@ Defined results: null and empty texts have no tokens; repeated rows get a row ea
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left
 
@@ -25,12 +26,13 @@ from . import common
 COUNTED = "byte_bpe_50k.json"
 HUGE = 65_536  # characters from which a text is encoded in chunks
 OVERLAP = 512
-KEPT_UNITS = 300_000  # units whose encodings a worker keeps
-LONGEST_KEPT = 64
+KEPT_UNITS = 600_000  # units whose encodings a worker keeps
 
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Another white-space character before a space or line feed: the place between them is no stable cut.
 UNSTABLE = re.compile(r"[^\S \n][ \n]")
+#: Letters before punctuation other than an apostrophe, to the end of the unit.
+CLOSED = re.compile(r"(.*[a-zA-Zß-öø-ÿ])([.,;:!?&%$#*|]+)", re.S)
 STABLE = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -38,27 +40,54 @@ def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 class Units(dict):
-    """unit -> what `of` makes of its ids; missing units of a text are encoded in one call."""
+    """unit -> what `of` makes of its ids.
 
-    def __init__(self, tok, of):
+    A unit of letters and closing punctuation is put together from both parts, because neither pre-tokenizer lets
+    a token span that place; so only the part with letters is encoded, once for all that can follow it. With
+    folded=True (a vocabulary that lowers its text) an ASCII part is looked up in lower case.
+    """
+
+    def __init__(self, tok, of, folded: bool = False):
         super().__init__()
-        self.tok, self.of = tok, of
-
-    def values_of(self, units: list[str]) -> list:
-        try:
-            return list(map(self.__getitem__, units))
-        except KeyError:
-            pass
-        new = [u for u in dict.fromkeys(units) if u not in self]
-        made = {u: self.of(e.ids) for u, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(self) + len(made) > KEPT_UNITS:
+        self.tok, self.of, self.folded = tok, of, folded
+
+    def _parts(self, unit: str) -> list[str]:
+        m = CLOSED.fullmatch(unit)
+        parts = [m[1], m[2]] if m else [unit]
+        return [p.lower() for p in parts] if self.folded and unit.isascii() else parts
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encodes in one call what these texts' units have and this does not."""
+        new = {u for units in texts for u in units}.difference(self)
+        if len(self) + len(new) > KEPT_UNITS:
             self.clear()
-        self.update((u, v) for u, v in made.items() if len(u) <= LONGEST_KEPT)
-        return [made[u] if u in made else self[u] if u in self else self.of(self.tok.encode(u, add_special_tokens=False).ids) for u in units]
+            new = {u for units in texts for u in units}
+        parts = {u: self._parts(u) for u in new}
+        bare = list({p for ps in parts.values() for p in ps}.difference(self))
+        self.update(zip(bare, (self.of(e.ids) for e in self.tok.encode_batch_fast(bare, add_special_tokens=False)), strict=True))
+        for u, ps in parts.items():
+            if len(ps) > 1:
+                self[u] = self[ps[0]] + self[ps[1]]
+            elif ps[0] != u:
+                self[u] = self[ps[0]]
+
+
+def runs(texts: list[str], size: int = 1 << 20):
+    """Consecutive texts of about `size` characters together."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def ahead(one, cut: int) -> int | None:
@@ -91,13 +120,18 @@ def spliced(tok, text: str, size: int = HUGE, overlap: int = OVERLAP) -> list[in
     return out + tok.encode(text[at:], add_special_tokens=False).ids
 
 
-def encoded(tok, cache: Units, text: str) -> list:
-    """What `cache.of` makes of a text's units, in order; a huge or unstable text counts as one unit."""
-    if len(text) > HUGE:
-        return [cache.of(spliced(tok, text))]
-    if UNSTABLE.search(text):
-        return [cache.of(tok.encode(text, add_special_tokens=False).ids)]
-    return cache.values_of(UNIT.findall(text))
+def encoded(tok, cache: Units, texts: list[str], unit: re.Pattern = UNIT, unstable: re.Pattern | None = UNSTABLE):
+    """Yields, for each text, what `cache.of` makes of its units, in order; a huge or unstable text is one unit."""
+    for some in runs(texts):
+        apart = [len(t) > HUGE or unstable is not None and unstable.search(t) is not None for t in some]
+        units = [[] if alone else unit.findall(t) for t, alone in zip(some, apart, strict=True)]
+        cache.learn(units)
+        for t, alone, own in zip(some, apart, units, strict=True):
+            if alone:
+                ids = spliced(tok, t) if len(t) > HUGE else tok.encode(t, add_special_tokens=False).ids
+                yield [cache.of(ids)]
+            else:
+                yield map(cache.__getitem__, own)
 
 
 def counts(docs: DataFrame, name: str = COUNTED, limit: int = 512) -> DataFrame:
@@ -108,7 +142,7 @@ def counts(docs: DataFrame, name: str = COUNTED, limit: int = 512) -> DataFrame:
         cache = Units(tok, len)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = [sum(encoded(tok, cache, t)) for t in texts]
+            n = [sum(parts) for parts in encoded(tok, cache, texts)]
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
