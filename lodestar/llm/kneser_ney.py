@@ -157,7 +157,7 @@ def _dealt(kind: int, shards: int, by: np.ndarray, *columns: np.ndarray) -> list
     return [(kind, int(s[a]), packed(*(c[a:z] for c in columns))) for a, z in zip(cuts, [*cuts[1:], len(s)], strict=True)]
 
 
-def counted(train: DataFrame, shards: int) -> DataFrame:
+def counted(train: DataFrame, shards: tuple[int, int]) -> DataFrame:
     """Blocks of pre-counted words and pairs of train(text)."""
 
     def run(batches):
@@ -167,13 +167,13 @@ def counted(train: DataFrame, shards: int) -> DataFrame:
             tok, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
             words, c = summed(tok, np.ones(len(tok), U))
             begun = int((ctx == BEGIN).sum())
-            out = _dealt(WORDS, shards, np.append(words, BEGIN), np.append(words, BEGIN), np.append(c, U(begun)))
+            out = _dealt(WORDS, shards[0], np.append(words, BEGIN), np.append(words, BEGIN), np.append(c, U(begun)))
             g = pair(ctx, tok)
             order = np.argsort(g)
             g = g[order]
             cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             s = U(64 - PAIR_BITS)
-            out += _dealt(PAIRS, shards, g[cuts], ctx[order[cuts]] >> s, tok[order[cuts]] >> s, np.diff(cuts, append=len(g)).astype(U))
+            out += _dealt(PAIRS, shards[1], g[cuts], ctx[order[cuts]] >> s, tok[order[cuts]] >> s, np.diff(cuts, append=len(g)).astype(U))
             held.clear()
             return _rows(out)
 
@@ -200,7 +200,7 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
     os.replace(own, os.path.join(folder, name))
 
 
-def merged(blocks: DataFrame, folder: str, shards: int) -> DataFrame:
+def merged(blocks: DataFrame, folder: str, words_shards: int) -> DataFrame:
     """Merges each shard; pairs go to files, what contexts and continuations need is sent on."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -225,9 +225,9 @@ def merged(blocks: DataFrame, folder: str, shards: int) -> DataFrame:
             _write(folder, f"pairs-{shard}", g, np.append(g[many], U(int(many.sum()))), c[many], np.minimum(c, U(255)).astype(np.uint8))
             out = [(TALLY, 0, np.array([0, 0, *((c == U(k)).sum() for k in (1, 2, 3, 4))], U).tobytes())]
             seen = summed(v, (c == U(1)).astype(U), (c == U(2)).astype(U), (c > U(2)).astype(U))
-            out += _dealt(CONTEXTS, shards, seen[0] << s, *seen)
+            out += _dealt(CONTEXTS, words_shards, seen[0] << s, *seen)
             cont = summed(w, np.ones(len(w), U))
-            out += _dealt(CONTINUED, shards, cont[0] << s, *cont)
+            out += _dealt(CONTINUED, words_shards, cont[0] << s, *cont)
         return pa.Table.from_batches([_rows(out)])
 
     return blocks.groupBy("kind", "shard").applyInArrow(run, ROW)
@@ -276,7 +276,7 @@ def vocabulary(parts: DataFrame, folder: str, d: list[float]) -> DataFrame:
 class Model:
     """The memory-mapped arrays, opened shard by shard."""
 
-    def __init__(self, folder: str, shards: int, d: list[float], d1: list[float], total: int, size: int, tokens: int, lam: float):
+    def __init__(self, folder: str, shards: tuple[int, int], d: list[float], d1: list[float], total: int, size: int, tokens: int, lam: float):
         self.folder, self.shards, self.d, self.d1 = folder, shards, np.array([0, *d]), np.array([0, *d1])
         self.total, self.size, self.tokens, self.lam = total, size, tokens, lam
         self.open: dict[str, list | None] = {}
@@ -305,7 +305,7 @@ class Model:
 
     def looked_up(self, kind: str, keys: np.ndarray):
         """Yields (slice of the ascending keys, arrays, positions, found) by shard."""
-        s = _shards(keys, self.shards)
+        s = _shards(keys, self.shards[kind == "pairs"])
         cuts = np.flatnonzero(np.diff(s, prepend=-1))
         for a, z in zip(cuts, [*cuts[1:], len(s)], strict=True):
             got = self.arrays(f"{kind}-{s[a]}")
@@ -361,8 +361,9 @@ def trained(train: DataFrame) -> Model:
         raise ValueError("the model is memory-mapped: spark.checkpoint.dir must be a mounted folder (file:) here")
     folder = os.path.join(place.path, f"kneser-ney-{uuid.uuid4().hex}")
     os.makedirs(folder)
-    shards = 4 * common.partitions(spark)
-    parts = common.stored(merged(counted(train, shards), folder, shards), "language-model")
+    n = common.partitions(spark)
+    shards = (max(8, n // 4), 2 * n)  # of words, of pairs: every pair shard sends a block to every word shard
+    parts = common.stored(merged(counted(train, shards), folder, shards[0]), "language-model")
     tally = _tally(parts, 6)
     d = discounts(tally[2:])
     n = _tally(vocabulary(parts.where(F.col("kind") != TALLY), folder, d), 6)
