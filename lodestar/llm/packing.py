@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -144,32 +145,36 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, large: float =
         for g in stacks:  # groups that round to the same size are one
             sizes.setdefault(g[0][0], []).extend(g)
         ordered = sorted(sizes)
+        under = dict(zip(ordered, [0, *ordered], strict=False))
         use = configurations(ordered, [sum(n for _, n in sizes[s]) for s in ordered], capacity)
-        stock = {s: [list(x) for x in sorted(sizes[s], reverse=True)] for s in ordered}
+        rest = sorted(left)
+
+        def longest(most: int, taken: dict[int, int]) -> int:
+            """The longest length up to `most` of which more is left than these sequences have taken."""
+            i = bisect_right(rest, most) - 1
+            while i >= 0 and left[rest[i]] <= taken.get(rest[i], 0):
+                i -= 1
+            return rest[i] if i >= 0 else 0
+
         for config, times in sorted(use, key=lambda u: (-sum(a * s for a, s in zip(u[0], ordered, strict=True)), u)):
-            slots = [s for a, s in zip(config, ordered, strict=True) for _ in range(a)]
-            short = {s: sum(n for _, n in stock[s]) // a for a, s in zip(config, ordered, strict=True) if a}
-            times = min([int(times), *short.values()])
-            while times > 0:  # equal copies as long as no slot's next length runs out
-                heads, want = [], defaultdict(int)
-                for s in slots:
-                    pile, skip = stock[s], want[s]
-                    i = 0
-                    while skip >= pile[i][1]:
-                        skip -= pile[i][1]
-                        i += 1
-                    heads.append(pile[i][0])
-                    want[s] += 1
-                per = defaultdict(int)
-                for s, h in zip(slots, heads, strict=True):
-                    per[s, h] += 1
-                run = min(times, *(max(1, next(n for x, n in stock[s] if x == h) // m) for (s, h), m in per.items()))
-                for (s, h), m in per.items():
-                    entry = next(e for e in stock[s] if e[0] == h)
-                    entry[1] -= m * run
-                    left[h] -= m * run
-                    if entry[1] == 0:
-                        stock[s].remove(entry)
+            slots = [s for a, s in zip(config, ordered, strict=True) for _ in range(a)][::-1]
+            times = int(times)
+            while times > 0:  # equal copies as long as no length runs out
+                taken: dict[int, int] = defaultdict(int)
+                heads: list[int] = []
+                for i, s in enumerate(slots):
+                    last = i == len(slots) - 1  # what rounding has left over goes to the last place
+                    x = longest(capacity - sum(heads) if last else s, taken)
+                    if x <= under[s]:
+                        break
+                    heads.append(x)
+                    taken[x] += 1
+                if len(heads) < len(slots):
+                    break
+                run = min(times, *(left[x] // m for x, m in taken.items()))
+                for x, m in taken.items():
+                    left[x] -= m * run
+                rest = [x for x in rest if left[x]] if any(not left[x] for x in taken) else rest
                 bins[capacity - sum(heads)].append([tuple(heads), run])
                 times -= run
     out = best_fit(left, bins, capacity)
