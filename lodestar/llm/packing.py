@@ -13,7 +13,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -38,8 +37,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, en
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tok = tokens.tokenizer(name)
-        cache = tokens.Units(tok, lambda ids: struct.pack(f"<{len(ids)}I", *ids), folded=True)
+        tok, cache = tokens.tokenizer(name), tokens.listed_units(name)
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             out = ([], [], [], [], [])

@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from bisect import bisect_left
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,7 @@ from . import common
 COUNTED = "byte_bpe_50k.json"
 HUGE = 65_536  # characters from which a text is encoded in chunks
 OVERLAP = 512
-KEPT_UNITS = 600_000  # units whose encodings a worker keeps
+KEPT_UNITS = 1_000_000  # units whose encodings a worker keeps
 
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Another white-space character before a space or line feed: the place between them is no stable cut.
@@ -36,6 +38,7 @@ CLOSED = re.compile(r"(.*[a-zA-Zß-öø-ÿ])([.,;:!?&%$#*|]+)", re.S)
 STABLE = re.compile(r"(?<=\S)[ \n]")
 
 
+@lru_cache
 def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -77,6 +80,18 @@ class Units(dict):
                 self[u] = self[ps[0]]
 
 
+@lru_cache
+def counted_units(name: str) -> Units:
+    """unit -> number of ids; kept by the worker from task to task."""
+    return Units(tokenizer(name), len)
+
+
+@lru_cache
+def listed_units(name: str) -> Units:
+    """unit -> ids as little-endian bytes, for a vocabulary that lowers its text; kept from task to task."""
+    return Units(tokenizer(name), lambda ids: struct.pack(f"<{len(ids)}I", *ids), folded=True)
+
+
 def runs(texts: list[str], size: int = 1 << 20):
     """Consecutive texts of about `size` characters together."""
     held, n = [], 0
@@ -138,8 +153,7 @@ def counts(docs: DataFrame, name: str = COUNTED, limit: int = 512) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tok = tokenizer(name)
-        cache = Units(tok, len)
+        tok, cache = tokenizer(name), counted_units(name)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [sum(parts) for parts in encoded(tok, cache, texts)]
