@@ -24,7 +24,7 @@ FRAME = r"^\s*([0-9.]+)%\s+\(([0-9]+)\)\s+(\S+)\s+(.*?)(?:\s+\(([^)]*)\))?\s*$"
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
     """Frames of text traces (file, trace, pos, percent, cost, library, function, source); other lines are skipped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"(?m)^=====\s*$")).alias("trace", "body"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"(?m)^=====\s*$")).alias("trace", "body"))
     lines = raw.select("file", "trace", F.posexplode(F.split("body", "\n")).alias("pos", "line")).where(F.col("line").rlike(FRAME))
     part = lambda i: F.regexp_extract("line", FRAME, i)
     return lines.select("file", "trace", "pos", part(1).cast("double").alias("percent"), part(2).cast("long").alias("cost"), part(3).alias("library"), part(4).alias("function"), part(5).alias("source"))
