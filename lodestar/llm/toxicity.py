@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,18 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.array([f for w in set(WORD.findall((text or "").lower())) for f in features_of(w)], np.int32))
 
 
+def texts_with(part: list[np.ndarray], at_once: int = 500) -> np.ndarray:
+    """How many texts have each feature."""
+    out = np.zeros(1 << BITS, np.int64)
+    for i in range(0, len(part), at_once):
+        out += np.bincount(np.concatenate([np.zeros(0, np.int32), *part[i : i + at_once]]), minlength=1 << BITS)
+    return out
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 120, batch: int = 512, rate: float = 0.1, l1: float = 5e-6, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU logistic model on presence features."""
-    df = np.bincount(np.concatenate([np.zeros(0, np.int32), *positive, *unlabelled]), minlength=1 << BITS)
-    share = [np.bincount(np.concatenate([np.zeros(0, np.int32), *part]), minlength=1 << BITS) / len(part) for part in (positive, unlabelled)]
+    texts = [texts_with(part) for part in (positive, unlabelled)]
+    df, share = texts[0] + texts[1], [n / len(part) for n, part in zip(texts, (positive, unlabelled), strict=True)]
     pooled = df / (len(positive) + len(unlabelled))
     spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
     used = np.flatnonzero((df >= LEAST_DOCS) & (share[0] - share[1] >= LEAST_Z * spread))
@@ -101,6 +110,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return full, float(bias)
 
 
+def parted(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists as views of one array: a list of Python numbers would take many times the driver's memory."""
+    return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, float]:
     """(P texts' features, U texts' features, prior) from labelled rows of the training fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -117,10 +131,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, float]:
 
     wide = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
     got = wide.mapInArrow(run, "toxic int, f array<int>").toArrow()
-    f = got.column("f").to_pylist()
-    sides: tuple[list, list] = ([], [])
-    for y, x in zip(got.column("toxic").to_pylist(), f, strict=True):
-        sides[y is None].append(np.array(x, np.int32))
+    sides = [parted(got.filter(mask).column("f").combine_chunks()) for mask in (pc.is_valid(got.column("toxic")), pc.is_null(got.column("toxic")))]
     return *sides, prior
 
 
