@@ -32,12 +32,12 @@ GROUPS = 64
 WORDS = re.compile(r"[^ \n]+")
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, end: int = 0, kept: int = tokens.KEPT_UNITS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and the end id, cut only where longer than capacity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tok, cache = tokens.tokenizer(name), tokens.listed_units(name)
+        tok, cache = tokens.tokenizer(name), tokens.listed_units(name, kept)
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             out = ([], [], [], [], [])
@@ -181,9 +181,9 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, large: float =
     return [(lengths, n) for lengths, n in out]
 
 
-def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY) -> DataFrame:
-    """pieces() with sequence_id and offset."""
-    cut = common.stored(pieces(docs, capacity, name).withColumn("_u", F.monotonically_increasing_id()), "pieces")
+def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, kept: int = tokens.KEPT_UNITS) -> DataFrame:
+    """pieces() with sequence_id and offset; kept: units whose ids a worker keeps, which costs memory and saves time."""
+    cut = common.stored(pieces(docs, capacity, name, kept=kept).withColumn("_u", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row per length
     runs, taken, base = [], defaultdict(int), 0
     for lengths, n in planned(histogram, capacity):

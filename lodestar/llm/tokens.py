@@ -55,9 +55,9 @@ class Units(dict):
     folded=True (a vocabulary that lowers its text) an ASCII part is looked up in lower case.
     """
 
-    def __init__(self, tok, of, folded: bool = False):
+    def __init__(self, tok, of, folded: bool = False, kept: int = KEPT_UNITS):
         super().__init__()
-        self.tok, self.of, self.folded = tok, of, folded
+        self.tok, self.of, self.folded, self.kept = tok, of, folded, kept
 
     def _parts(self, unit: str) -> list[str]:
         m = CLOSED.fullmatch(unit)
@@ -67,7 +67,7 @@ class Units(dict):
     def learn(self, texts: list[list[str]]) -> None:
         """Encodes in one call what these texts' units have and this does not."""
         new = {u for units in texts for u in units}.difference(self)
-        if len(self) + len(new) > KEPT_UNITS:
+        if len(self) + len(new) > self.kept:
             self.clear()
             new = {u for units in texts for u in units}
         parts = {u: self._parts(u) for u in new}
@@ -87,9 +87,9 @@ def counted_units(name: str) -> Units:
 
 
 @lru_cache
-def listed_units(name: str) -> Units:
+def listed_units(name: str, kept: int = KEPT_UNITS) -> Units:
     """unit -> ids as little-endian bytes, for a vocabulary that lowers its text; kept from task to task."""
-    return Units(tokenizer(name), lambda ids: struct.pack(f"<{len(ids)}I", *ids), folded=True)
+    return Units(tokenizer(name), lambda ids: struct.pack(f"<{len(ids)}I", *ids), folded=True, kept=kept)
 
 
 def runs(texts: list[str], size: int = 1 << 20):
