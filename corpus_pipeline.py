@@ -28,7 +28,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(spark, docs)
+    return packing.packed(spark, docs, kept=300_000)  # workers still hold memory of the stages before
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("mix_sources", mixed), ("pack_sequences", packed)]
