@@ -60,7 +60,7 @@ def texts_with(part: list[np.ndarray], at_once: int = 500) -> np.ndarray:
     return out
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 120, batch: int = 512, rate: float = 0.1, l1: float = 5e-6, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 600, batch: int = 512, rate: float = 0.3, l1: float = 5e-6, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative PU logistic model on presence features."""
     texts = [texts_with(part) for part in (positive, unlabelled)]
     df, share = texts[0] + texts[1], [n / len(part) for n, part in zip(texts, (positive, unlabelled), strict=True)]
