@@ -48,3 +48,98 @@ def in_ranges(changes: DataFrame, ranges: DataFrame, key: str, line: str, first:
     """Changes joined to the ranges of the same key that hold their line: an equi-join on cells of `cell` lines."""
     cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(first) / cell), F.floor(F.col(last) / cell))))
     return changes.withColumn("_cell", F.floor(F.col(line) / cell)).join(cells, [key, "_cell"]).where(F.col(line).between(F.col(first), F.col(last))).drop("_cell")
+
+
+def levels(edges: DataFrame, cyclic: int = 20, rounds: int = 1000) -> DataFrame:
+    """(node, level): 0 for a node that calls nothing, else one more than its highest callee.
+
+    A call of itself counts as a callee of level 0. Nodes on or above a longer cycle get `cyclic`. A round settles one
+    level and keeps only the edges between unsettled nodes, so the work shrinks with what is left.
+    """
+    edges = edges.select("src", "dst").distinct()
+    callers = edges.select(F.col("src").alias("node")).distinct().checkpoint()
+    out = edges.select(F.col("dst").alias("node")).distinct().join(callers, "node", "left_anti").withColumn("level", F.lit(0))
+    left, live = callers, edges.where("src <> dst").join(callers.withColumnRenamed("node", "dst"), "dst", "left_semi").checkpoint()
+    for level in range(1, rounds + 1):
+        if left.isEmpty():
+            break
+        blocked = live.select(F.col("src").alias("node")).distinct()
+        settled = left.join(blocked, "node", "left_anti").checkpoint()
+        if settled.isEmpty():
+            break
+        out = out.unionByName(settled.withColumn("level", F.lit(level)))
+        left = left.join(settled, "node", "left_anti").checkpoint()
+        live = live.join(settled.withColumnRenamed("node", "dst"), "dst", "left_anti").checkpoint()
+    return out.unionByName(left.withColumn("level", F.lit(cyclic)))
+
+
+def falling(edges: DataFrame, level: DataFrame) -> DataFrame:
+    """Edges (src, dst, level of src) that lead to a lower level, which make a graph without cycles."""
+    up = level.select(F.col("node").alias("src"), "level")
+    down = level.select(F.col("node").alias("dst"), F.col("level").alias("_to"))
+    return edges.select("src", "dst").distinct().join(up, "src").join(down, "dst").where("_to < level").select("src", "dst", "level")
+
+
+def path_counts(edges: DataFrame, level: DataFrame) -> DataFrame:
+    """(node, paths): paths to a node without callees in the falling graph, 1 for such a node; one join per level."""
+    down = falling(edges, level).checkpoint()
+    inner = down.select(F.col("src").alias("node")).distinct()
+    out = level.select("node").join(inner, "node", "left_anti").withColumn("paths", F.lit(1).cast("decimal(38,0)")).checkpoint()
+    for (at,) in sorted(r[:1] for r in down.select("level").distinct().collect()):  # a row per level
+        step = down.where(F.col("level") == at).join(out.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"))
+        out = out.unionByName(step.agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))).checkpoint()
+    return out
+
+
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, component): component is the smallest node of the strongly connected component.
+
+    The smallest ancestor colours every node; the nodes of a colour that reach its root are a component. Edges
+    between colours, and of settled nodes, go, and the rest is coloured anew.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    live = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
+    out = None
+    for _ in range(rounds):
+        if live.isEmpty():
+            break
+        colours = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")).checkpoint()
+        while True:
+            offers = live.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+            offered = colours.join(offers, "node", "left").select("node", F.least("colour", "offer").alias("colour"), F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved")).checkpoint()
+            colours = offered.drop("moved")
+            if offered.where("moved").isEmpty():
+                break
+        inside = live.join(colours.withColumnRenamed("node", "src"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_other")), "dst")
+        inside = inside.where("colour = _other").select("src", "dst", "colour").checkpoint()
+        found = front = colours.where("node = colour").checkpoint()
+        while not front.isEmpty():
+            step = front.select(F.col("node").alias("dst")).join(inside, "dst").select(F.col("src").alias("node"), "colour").distinct()
+            front = step.join(found.select("node"), "node", "left_anti").checkpoint()
+            found = found.unionByName(front).checkpoint()
+        out = found if out is None else out.unionByName(found)
+        live = inside.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").checkpoint()
+    if out is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(out, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
+
+
+def first_kept(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, kept): taking nodes in ascending order, one is kept unless a kept smaller one is linked to it.
+
+    A round keeps all open nodes without an open smaller neighbour at once, drops their neighbours, and goes on with
+    the links that are left; the result is that of the one-by-one order.
+    """
+    live = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    left = nodes.select("node").distinct().checkpoint()
+    out = left.select("node", F.lit(True).alias("kept")).where("false")
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        kept = left.join(live.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+        gone = live.join(kept.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        done = kept.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))).checkpoint()
+        out = out.unionByName(done)
+        left = left.join(done.select("node"), "node", "left_anti").checkpoint()
+        live = live.join(done.select(F.col("node").alias("a")), "a", "left_anti").join(done.select(F.col("node").alias("b")), "b", "left_anti").checkpoint()
+    return out

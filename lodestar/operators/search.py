@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z]+"
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf), tokens being runs of a to z of the lower-cased text."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+#: Distinct query words that may be broadcast; they are counted before, and a shuffled join is used beyond it.
+BROADCAST_WORDS = 200_000
+
+
+def words_of(text: str) -> Column:
+    """The runs of a to z of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, token, tf) of all tokens, or of those in only(token), which are kept before anything is shuffled."""
+    tokens = docs.select(key, F.explode(words_of(text)).alias("token"))
+    if only is not None:
+        few = only.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+        tokens = tokens.join(F.broadcast(only) if few else only, "token", "left_semi")
+    return tokens.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best docs(id, text) for each of queries(q, text): q, id, score, rank; scores are ranked to six decimals, ties by id."""
     want = postings(queries, "q", "text").select("q", "token")
-    found = postings(docs, "id", "text")
-    length = found.groupBy("id").agg(F.sum("tf").alias("dl"))
+    found = postings(docs, "id", "text", want.select("token").distinct())
+    length = docs.groupBy("id").agg(F.sum(F.size(words_of("text"))).alias("dl")).where("dl > 0")
     whole = F.broadcast(length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
-    df = found.groupBy("token").agg(F.count("*").alias("df")).join(want.select("token").distinct(), "token", "left_semi")
+    df = found.groupBy("token").agg(F.count("*").alias("df"))
     hits = found.join(df, "token").join(length, "id").join(want, "token").crossJoin(whole)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -36,3 +36,11 @@ def name_score(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(F.split(a, "[_ ]")), F.array_distinct(F.split(b, "[_ ]"))
     both = F.size(F.array_intersect(x, y))
     return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.7).when(both > 0, 0.3 + 0.3 * both / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
+
+
+def hybrid(candidates: DataFrame, k: int = 5, *, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), least: float = 0.5) -> DataFrame:
+    """The k best of each q by the weighted file_score, function_score and score; a file score of 0 rules a pair out."""
+    total = sum((F.col(c) * w for c, w in zip(("file_score", "function_score", "score"), weights, strict=True)), F.lit(0.0))
+    scored = candidates.where("file_score > 0").withColumn("hybrid", total).where(F.col("hybrid") >= least)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("hybrid", 9).desc(), "id"))
+    return scored.withColumn("hybrid_rank", rank).where(F.col("hybrid_rank") <= k)

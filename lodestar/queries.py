@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -156,13 +158,16 @@ def _reach_sql(start: int) -> str:
     return f"WITH RECURSIVE {t.CALLS_SQL}, r AS (SELECT {start} AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN calls ON src = node WHERE depth < 30) SELECT node, min(depth) AS depth FROM r GROUP BY 1"
 
 
-@query(_reach_sql(3))
-def graph_reachable(spark, d):
+def _stored_calls(spark, d):
+    """The calls, with a checkpoint folder for the loops: the cluster's, or a temporary one where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
-    return graph.reached(t.calls(spark, d), spark.createDataFrame([(3,)], "node int"))
+    return t.calls(spark, d).checkpoint()
+
+
+@query(_reach_sql(3))
+def graph_reachable(spark, d):
+    return graph.reached(_stored_calls(spark, d), spark.createDataFrame([(3,)], "node int"))
 
 
 @query(f"""WITH {t.CALLS_SQL}, a AS (SELECT [3, dst] AS p FROM calls WHERE src = 3),
@@ -178,6 +183,35 @@ def graph_mutual_calls(spark, d):
     return graph.mutual(t.calls(spark, d))
 
 
+@query(f"""WITH RECURSIVE {t.CALLS_SQL}, r AS (SELECT src AS a, dst AS b FROM calls UNION SELECT a, dst FROM r JOIN calls ON src = b), m AS (SELECT x.a, min(x.b) AS m FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT node, least(node, coalesce(m, node)) AS component FROM (SELECT src AS node FROM calls UNION SELECT dst FROM calls) LEFT JOIN m ON a = node""")
+def graph_strong_components(spark, d):
+    return graph.strong_components(_stored_calls(spark, d))
+
+
+DOWN_SQL = f"WITH RECURSIVE {t.CALLS_SQL}, e AS (SELECT src, dst FROM calls WHERE dst < src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+
+
+@query(DOWN_SQL + ", r AS (SELECT node, 0 AS level FROM n UNION SELECT src, level + 1 FROM r JOIN e ON dst = node) SELECT node, max(level) AS level FROM r GROUP BY 1")
+def graph_levels(spark, d):
+    return graph.levels(_stored_calls(spark, d).where("dst < src"))
+
+
+@query(DOWN_SQL + ", r AS (SELECT node AS start, node FROM n UNION ALL SELECT start, dst FROM r JOIN e ON src = node) SELECT start AS node, count(*) AS paths FROM r WHERE node NOT IN (SELECT src FROM e) GROUP BY 1")
+def graph_path_counts(spark, d):
+    e = _stored_calls(spark, d).where("dst < src")
+    return graph.path_counts(e, graph.levels(e)).select("node", F.col("paths").cast("long").alias("paths"))
+
+
+@query(f"""WITH RECURSIVE {t.CALLS_SQL}, n AS (SELECT n_nationkey AS node, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation),
+s AS (SELECT i, node, (SELECT list(x) FROM (SELECT dst AS x, src AS y FROM calls UNION SELECT src, dst FROM calls) WHERE y = node AND x < node) AS before FROM n),
+k AS (SELECT 0::BIGINT AS i, []::INT[] AS kept UNION ALL SELECT s.i, CASE WHEN list_has_any(kept, coalesce(before, []::INT[])) THEN kept ELSE list_append(kept, node) END FROM k JOIN s ON s.i = k.i + 1)
+SELECT node, list_contains((SELECT kept FROM k ORDER BY i DESC LIMIT 1), node) AS kept FROM n""")
+def finding_greedy_dedupe(spark, d):
+    calls = _stored_calls(spark, d)
+    return graph.first_kept(t.table(spark, d, "nation").select(F.col("n_nationkey").alias("node")), calls.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS hits FROM lineitem JOIN part ON l_partkey = p_partkey
 WHERE l_quantity::BIGINT * 10 BETWEEN p_size * 10 AND p_size * 10 + 9 GROUP BY 1, 2, 3""")
 def graph_changed_functions(spark, d):
@@ -205,6 +239,21 @@ def similarity_knn(spark, d):
     return got.select("q", "id", "rank", similarity.match_class(F.col("score")).alias("match"))
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, 'fn_' || (vec_id % 4) || '_' || (vec_id % 5) AS name FROM embeddings),
+s AS (SELECT a.vec_id AS q, b.vec_id AS id, a.name AS x, b.name AS y, 1 - least(greatest(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 0), 2) / 2 AS score
+  FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
+c AS (SELECT *, list_distinct(string_split(x, '_')) AS p, list_distinct(string_split(y, '_')) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 15),
+h AS (SELECT q, id, 0.4::DOUBLE * (CASE WHEN q % 3 = id % 3 THEN 1 WHEN q % 2 = id % 2 THEN 0.5 ELSE 0 END)::DOUBLE + 0.3::DOUBLE * CASE WHEN x = y THEN 1::DOUBLE ELSE 0.3::DOUBLE + 0.3::DOUBLE * len(list_intersect(p, r)) / greatest(len(p), len(r)) END + 0.3::DOUBLE * score AS hybrid FROM c WHERE q % 3 = id % 3 OR q % 2 = id % 2)
+SELECT q, id, hybrid_rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(hybrid, 9) DESC, id) AS hybrid_rank FROM h WHERE hybrid >= 0.5) WHERE hybrid_rank <= 5""")
+def similarity_hybrid(spark, d):
+    e = t.table(spark, d, "embeddings")
+    got = similarity.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("u"), "label"), "label", 15)
+    name = lambda c: F.concat(F.lit("fn_"), F.col(c) % 4, F.lit("_"), F.col(c) % 5)
+    file = F.when(F.col("q") % 3 == F.col("id") % 3, 1.0).when(F.col("q") % 2 == F.col("id") % 2, 0.5).otherwise(0.0)
+    scored = got.withColumn("file_score", file).withColumn("function_score", similarity.name_score(name("q"), name("id")))
+    return similarity.hybrid(scored).select("q", "id", "hybrid_rank")
+
+
 @query("""WITH q AS (SELECT DISTINCT item_id AS q, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark),
 t AS (SELECT doc_id AS id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY 1, 2),
 l AS (SELECT id, sum(tf) AS dl FROM t GROUP BY 1), w AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT token, count(*) AS df FROM t GROUP BY 1),
