@@ -34,7 +34,8 @@ UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Another white-space character before a space or line feed: the place between them is no stable cut.
 UNSTABLE = re.compile(r"[^\S \n][ \n]")
 #: Letters before punctuation other than an apostrophe, to the end of the unit.
-CLOSED = re.compile(r"(.*[a-zA-Zß-öø-ÿ])([.,;:!?&%$#*|]+)", re.S)
+CLOSING = ".,;:!?&%$#*|"
+LETTERS = frozenset(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 STABLE = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -60,16 +61,16 @@ class Units(dict):
         self.tok, self.of, self.folded, self.kept = tok, of, folded, kept
 
     def _parts(self, unit: str) -> list[str]:
-        m = CLOSED.fullmatch(unit)
-        parts = [m[1], m[2]] if m else [unit]
+        body = unit.rstrip(CLOSING)
+        parts = [body, unit[len(body) :]] if body and len(body) < len(unit) and body[-1] in LETTERS else [unit]
         return [p.lower() for p in parts] if self.folded and unit.isascii() else parts
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encodes in one call what these texts' units have and this does not."""
-        new = {u for units in texts for u in units}.difference(self)
+        new = set().union(*texts).difference(self)
         if len(self) + len(new) > self.kept:
             self.clear()
-            new = {u for units in texts for u in units}
+            new = set().union(*texts)
         parts = {u: self._parts(u) for u in new}
         bare = list({p for ps in parts.values() for p in ps}.difference(self))
         self.update(zip(bare, (self.of(e.ids) for e in self.tok.encode_batch_fast(bare, add_special_tokens=False)), strict=True))
