@@ -6,9 +6,9 @@ are put in the order of (host, path); each is paired with the one of its two nei
 shares more segments. The pair's lines are aligned by longest common subsequence and shared lines are deleted:
 what two pages of a site repeat in the same order is its frame.
 
-Lines inside an article are kept even if shared, since copied articles are main text too; so differencing decides
-for pages, or parts of pages, that say nothing about their structure. Where all remaining lines of such a page are
-shared, the pair are copies of each other and nothing is deleted.
+Every page is aligned, whether or not it marks an article. Two guards keep copied main text: where half or more of a
+page's article lines are shared, the articles are near-copies and stay; where all lines of a page are shared, the
+pair are copies of each other and nothing is deleted.
 
 Defined results: null or empty html has the empty text; a host's only page is not differenced; pages with equal
 URLs are neighbours in the order of page_id; URLs without a host form one host; an empty table gives an empty
@@ -128,9 +128,6 @@ def lines(html: str) -> tuple[list[str], list[int]]:
             off = off or gone
             inside = inside or tag in ("article", "main") or "itemprop" in m[3] and "articleBody" in m[3]
     close()
-    if any(place):  # the page says where its article is
-        kept = [(t, p) for t, p in zip(out, place, strict=True) if p]
-        return [t for t, _ in kept], [p for _, p in kept]
     return out, place
 
 
@@ -227,10 +224,13 @@ def extracted(pages: DataFrame) -> DataFrame:
         def finish(prev, row, nxt):
             pairs = [r for r in (prev, nxt) if r is not None and r["key"]["host"] == row["key"]["host"] and r["block"] == row["block"]]
             keep = row["lines"]
-            if pairs and not all(row["place"]):
+            if pairs:
                 other = max(pairs, key=lambda r: (*path_likeness(row["key"]["path"], r["key"]["path"]), r is prev))
                 h = lambda r: [xxhash.xxh64_intdigest(x) for x in r["lines"]]
-                gone = {i for i in shared(h(row), h(other)) if not row["place"][i]}
+                gone = shared(h(row), h(other))
+                article = {i for i, p in enumerate(row["place"]) if p}
+                if 2 * len(gone & article) >= len(article):  # near-copies of one article
+                    gone -= article
                 if len(gone) < len(keep):
                     keep = [x for i, x in enumerate(keep) if i not in gone]
             return row["page_id"], row["url"], "\n".join(keep)

@@ -182,6 +182,23 @@ def test_page_text(spark):
     assert got == {1: "One & two", 2: "Other text", 3: "T\nBody bold\nmore", 4: "", 5: "kept", 6: ""}
 
 
+def test_page_text_aligns_marked_pages(spark):
+    teaser = "<div>Home</div><div>{}</div><article>{}</article>"
+    article = "<article><p>Press the key</p><p>{0} a</p><p>{0} b</p></article>"
+    pages = [
+        (1, "http://d/1", teaser.format("main one", "<p>see</p>")),  # main text outside the article
+        (2, "http://d/2", teaser.format("main two", "<p>look</p>")),
+        (3, "http://e/1", article.format("x")),  # a frame line inside articles
+        (4, "http://e/2", article.format("y")),
+        (5, "http://f/1", article.format("z")),  # copies
+        (6, "http://f/2", article.format("z").replace("z b", "z c")),
+    ]
+    got = {r["page_id"]: r["text"] for r in page_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "main one\nsee" and got[2] == "main two\nlook"
+    assert got[3] == "x a\nx b" and got[4] == "y a\ny b"
+    assert got[5] == "Press the key\nz a\nz b" and got[6] == "Press the key\nz a\nz c"
+
+
 def test_pii(spark, docs, none):
     text = "mail a.b@c.org, ip 1.2.3.4 and 1.2.3.999; card 4111 1111 1111 1111 call +1 (555) 010-9999"
     known = [(i, f"zz reach: +1 (555) 010-{1000 + i} yy", "s") for i in range(20, 30)]
