@@ -48,7 +48,7 @@ ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
 HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(.*)$", re.S)
 
 SOMEWHERE, ARTICLE = 0, 1
-LONGEST_TABLE = 50_000_000  # cells of an alignment
+LONGEST_TABLE = 50_000_000  # cells of an alignment's table held at once
 
 
 def dropped(tag: str, attributes: str) -> bool:
@@ -143,24 +143,65 @@ def path_likeness(a: str, b: str) -> tuple[int, int]:
     return same, next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Positions of a in a longest common subsequence with b (rows of the table as bits of whole numbers).
+def shared(a: list[int], b: list[int], cells: int = LONGEST_TABLE) -> set[int]:
+    """Positions of a in a longest common subsequence with b.
 
-    Lines that only one side has are left out first. Where the rest needs a table of over LONGEST_TABLE cells,
-    lines that stand once on both sides are aligned by their longest increasing run instead.
+    Lines that only one side has are left out first. A table of over `cells` cells is halved as Hirschberg does, so
+    memory stays bounded and the subsequence is a longest one at every size.
     """
     in_b, in_a = set(b), set(a)
     left = [i for i, x in enumerate(a) if x in in_b]
     right = [x for x in b if x in in_a]
-    if len(left) * len(right) > LONGEST_TABLE:
-        return _once(a, left, right)
+    out: set[int] = set()
+    work = [(left, right)]
+    while work:
+        rows, columns = work.pop()
+        least = min(len(rows), len(columns))
+        n = next((k for k in range(least) if a[rows[k]] != columns[k]), least)
+        out.update(rows[:n])
+        rows, columns = rows[n:], columns[n:]
+        least = min(len(rows), len(columns))
+        n = next((k for k in range(least) if a[rows[-1 - k]] != columns[-1 - k]), least)
+        out.update(rows[len(rows) - n :])
+        rows, columns = rows[: len(rows) - n], columns[: len(columns) - n]
+        if not rows or not columns:
+            continue
+        if len(rows) == 1 or len(rows) * len(columns) <= cells:
+            out |= _aligned(a, rows, columns)
+            continue
+        half = len(rows) // 2
+        ahead = _lengths([a[i] for i in rows[:half]], columns)
+        behind = _lengths([a[i] for i in reversed(rows[half:])], columns[::-1])[::-1]
+        cut = int(np.argmax(ahead + behind))
+        work += [(rows[:half], columns[:cut]), (rows[half:], columns[cut:])]
+    return out
+
+
+def _bits(right: list[int]) -> dict[int, int]:
     at: dict[int, int] = {}
     for j, x in enumerate(right):
         at[x] = at.get(x, 0) | 1 << j
+    return at
+
+
+def _lengths(left: list[int], right: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of left with right[:j], for every j from 0."""
+    at, full = _bits(right), (1 << len(right)) - 1
+    row = full
+    for x in left:
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    grown = np.unpackbits(np.frombuffer((~row & full).to_bytes(-(-len(right) // 8), "little"), np.uint8), bitorder="little")[: len(right)]
+    return np.concatenate(([0], np.cumsum(grown, dtype=np.int64)))
+
+
+def _aligned(a: list[int], left: list[int], right: list[int]) -> set[int]:
+    """Positions among left of a longest common subsequence of a with right (rows of the table as bits of whole numbers)."""
+    at = _bits(right)
     full = (1 << len(right)) - 1
     row, rows = full, []
     for i in left:
-        hit = row & at[a[i]]
+        hit = row & at.get(a[i], 0)
         row = ((row + hit) | (row - hit)) & full
         rows.append(row)
     out, j = set(), len(right) - 1
@@ -168,7 +209,7 @@ def shared(a: list[int], b: list[int]) -> set[int]:
         before = rows[k - 1] if k else full
         grown = ~rows[k] & full & ((1 << (j + 1)) - 1)
         if (grown.bit_count()) > (~before & full & ((1 << (j + 1)) - 1)).bit_count():
-            hits = at[a[left[k]]] & ((1 << (j + 1)) - 1)
+            hits = at.get(a[left[k]], 0) & ((1 << (j + 1)) - 1)
             need = grown.bit_count()
             while hits:  # the match that leaves as much to its left as the table says
                 p = hits.bit_length() - 1
@@ -180,27 +221,6 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def _once(a: list[int], left: list[int], right: list[int]) -> set[int]:
-    from bisect import bisect_left
-    from collections import Counter
-
-    na, nb = Counter(a[i] for i in left), Counter(right)
-    where = {x: j for j, x in enumerate(right) if nb[x] == 1}
-    tails: list[int] = []
-    ends: list[int] = []
-    back: dict[int, int | None] = {}
-    for i in left:
-        if na[a[i]] == 1 and a[i] in where:
-            k = bisect_left(tails, where[a[i]])
-            back[i] = ends[k - 1] if k else None
-            tails[k : k + 1], ends[k : k + 1] = [where[a[i]]], [i]
-    out, i = set(), ends[-1] if ends else None
-    while i is not None:
-        out.add(i)
-        i = back[i]
-    return out
-
-
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession

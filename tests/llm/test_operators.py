@@ -199,6 +199,26 @@ def test_page_text_aligns_marked_pages(spark):
     assert got[5] == "Press the key\nz a\nz b" and got[6] == "Press the key\nz a\nz c"
 
 
+def test_alignment_of_long_pages():
+    rng = random.Random(5)
+    for _ in range(60):
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(40))] for _ in range(2))
+        want = [0] * (len(b) + 1)
+        for x in a:
+            row, old = [0], want
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+            want = row
+        for cells in (1, 30, page_text.LONGEST_TABLE):
+            got = sorted(page_text.shared(a, b, cells))
+            rest = iter(b)
+            assert len(got) == want[-1] and all(any(a[i] == y for y in rest) for i in got)
+    menu = [0, 1] * 3600  # repeated lines on both sides, over LONGEST_TABLE cells
+    assert page_text.shared([7, *menu, 8], [9, *menu, 6]) == set(range(1, len(menu) + 1))
+    mixed = [rng.randrange(3) for _ in range(7200)]
+    assert len(page_text.shared(mixed, mixed[::-1])) == page_text._lengths(mixed, mixed[::-1])[-1]
+
+
 def test_pii(spark, docs, none):
     text = "mail a.b@c.org, ip 1.2.3.4 and 1.2.3.999; card 4111 1111 1111 1111 call +1 (555) 010-9999"
     known = [(i, f"zz reach: +1 (555) 010-{1000 + i} yy", "s") for i in range(20, 30)]
