@@ -5,7 +5,7 @@ beside seeds are patterns: (kind, side, word). A pattern's confidence is how oft
 identifier of that kind, of all its occurrences in the corpus. Loosely shaped candidates that the base rules do not
 accept (written-out addresses, other separators, IPv6, numbers without a plus) are identifiers if patterns of high
 confidence find them; they count as known in the next round and strengthen further patterns. Rounds go on until
-nothing is added, ROUNDS at most.
+nothing is added; candidates are finite, and an error is raised should ROUNDS not be enough.
 
 Offsets are code points: a text is cut at the matches, and lengths of the cuts are summed per document.
 
@@ -41,7 +41,7 @@ CONTEXT = 48  # code points beside a match that are looked at
 KEY = r"[^\x20\x09-\x0D0-9+(@\[]+"  # of a word: up to the first digit or opening sign
 SUPPORT = 3  # different known identifiers that a pattern needs
 CONFIDENCE = 0.5
-ROUNDS = 4
+ROUNDS = 1000  # an error beyond, never a cut
 
 
 def _digits(hit: Column) -> Column:
@@ -137,11 +137,14 @@ def bootstrapped(docs: DataFrame, all_spans: DataFrame, *, support: int = SUPPOR
         hits = patterns_of(loose).join(trusted.select("kind", "side", "word", "conf"), ["kind", "side", "word"])
         score = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))
         new = hits.groupBy("uid", "kind", "first", "last").agg(score.alias("score")).where(F.col("score") >= confidence).drop("score")
-        new = common.stored(new.join(added, ["uid", "kind", "first", "last"], "left_anti"), "discovered")
+        new = new.join(added, ["uid", "kind", "first", "last"], "left_anti")
+        new = common.stored(loose.join(new, ["uid", "kind", "first", "last"], "left_semi"), "discovered")
         if new.isEmpty():
             break
-        added = added.unionByName(new)
-        known = known.unionByName(loose.join(new, ["uid", "kind", "first", "last"], "left_semi"))
+        added = added.unionByName(new.select("uid", "kind", "first", "last"))
+        known = known.unionByName(new)
+    else:
+        raise RuntimeError(f"bootstrapping did not settle in {rounds} rounds")
     apart = Window.partitionBy("uid").orderBy("first", "kind").rowsBetween(Window.unboundedPreceding, -1)
     return added.withColumn("_z", F.max("last").over(apart)).where("_z IS NULL OR first >= _z").drop("_z")
 

@@ -230,6 +230,20 @@ def test_pii(spark, docs, none):
     assert pii.identified(none).count() == 0 and pii.identified(docs).count() == len(ROWS)
 
 
+def test_pii_rounds_go_on(spark):
+    # link n shares the word before with one of its neighbours in the chain and the word after with the other
+    rows = [f"aa: +1 (555) 010-{1000 + i}" for i in range(13)]
+    for n in range(7):
+        before, after = chr(97 + (n + 1) // 2), chr(97 + n // 2)
+        rows += [f"{before}{before}: (555) {100 + n}-{1000 + i} z{after}:" for i in range(12 - n)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: len(r["spans"]) for r in pii.identified(df).collect()}
+    assert got == {i: 1 for i in range(len(rows))}
+    every = common.stored(pii.spans(pii.found(df)), "spans")
+    with pytest.raises(RuntimeError):
+        pii.bootstrapped(df, every, rounds=4)
+
+
 def test_ordered_blocks(spark):
     n = 300
     df = spark.createDataFrame([(i * 7,) for i in range(n)], "id long")
