@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a row number `_row`, stored, so that the number stays with its row whenever it is read."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -150,16 +150,11 @@ def verified(docs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the copies: the row with the largest doc_id of each group of equal texts stays."""
-    found = groups(spark, docs).where("group_size > 1")
-    found = common.stored(found.select("doc_id", "kept", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("same")), "copies")
-    gone = found.where("NOT same").select("doc_id").distinct()
-    left = common.semi_by(docs, gone, ["doc_id"], "left_anti")
-    twice = found.where("same AND NOT kept").select("doc_id").distinct()
-    if twice.isEmpty():
-        return left
-    ties = common.semi_by(left, twice, ["doc_id"]).withColumn("_k", F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    return common.semi_by(left, twice, ["doc_id"], "left_anti").unionByName(ties.dropDuplicates(["doc_id", "_k"]).drop("_k"))
+    """docs without the copies: the row with the largest doc_id of each group of equal texts stays, row by row."""
+    rows = common.numbered(docs, "exact-rows")
+    found = groups(spark, rows.select(F.struct("doc_id", "_row").alias("doc_id"), "text"))
+    gone = common.stored(found.where("NOT kept").select("doc_id._row"), "copies")
+    return common.semi_by(rows, gone, ["_row"], "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,15 +160,12 @@ def classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep(spark: SparkSession, docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; rows without id stay."""
-    gone = common.stored(classes(docs, shingle).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    left = common.semi_by(docs, gone, ["doc_id"], "left_anti")
-    twice = left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    twice = common.stored(twice, "repeated")
-    if twice.isEmpty():
-        return left
-    return common.semi_by(left, twice, ["doc_id"], "left_anti").unionByName(common.semi_by(left, twice, ["doc_id"]).dropDuplicates(["doc_id"]))
+def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id (of rows without id only where all are)."""
+    rows = common.numbered(docs, "near-rows")
+    found = classes(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"), "text"))
+    gone = common.stored(found.where("component_id <> doc_id").select("doc_id._row"), "near-copies")
+    return common.semi_by(rows, gone, ["_row"], "left_anti").select(*docs.columns)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

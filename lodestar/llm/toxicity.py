@@ -172,9 +172,11 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_on: Da
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score the threshold or more; rows without id stay."""
-    gone = common.stored(scores(spark, docs, labels).where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic")
-    return common.semi_by(docs, gone, ["doc_id"], "left_anti")
+    """docs without the rows that score the threshold or more, whatever their doc_id."""
+    rows = common.numbered(docs, "toxicity-rows")
+    found = scores(spark, rows.select(F.col("_row").alias("doc_id"), "text"), labels, train_on=rows)
+    gone = common.stored(found.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_row")), "toxic")
+    return common.semi_by(rows, gone, ["_row"], "left_anti").select(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

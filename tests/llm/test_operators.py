@@ -36,6 +36,19 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.groups(spark, none).count() == 0
 
 
+def test_stages_decide_by_row(spark):
+    rows = [(5, "alpha one two three four five"), (5, "beta six seven eight nine ten"), (9, "Beta six seven eight nine ten"), (None, "beta six seven eight nine ten"), (None, "gamma")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same = lambda got: sorted(got.collect(), key=str)
+    assert same(exact_dedup.keep(spark, df)) == sorted([rows[0], rows[2], rows[4]], key=str)
+    assert same(simhash_dedup.keep(spark, df)) == sorted([rows[0], rows[1], rows[4]], key=str)
+    plain = [(i, f"w{i % 7} w{i % 11} w{i % 13}" + " vile rotten" * (i % 5 == 0)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 600, 2)], "doc_id long, toxic int")
+    extra = [(1, "w1 vile rotten"), (None, "w2 vile rotten"), (None, "w3")]
+    left = toxicity.keep(spark, spark.createDataFrame(plain + extra, "doc_id long, text string"), labels)
+    assert same(left) == sorted([p for p in plain if p[0] % 5] + extra[2:], key=str)
+
+
 def test_rice_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 500):
