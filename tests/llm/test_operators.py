@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestar.llm import common, exact_dedup, kneser_ney, mixing, packing, page_text, pii, simhash_dedup, span_hash, tokens, toxicity
+from lodestar.llm import common, exact_dedup, kneser_ney, mixing, near_copies, packing, page_text, pii, simhash_dedup, span_hash, tokens, toxicity
 
 LONG = "word " * 30_000
 ROWS = [(1, None, "s"), (2, "", "s"), (3, "A b c d e", None), (4, "a B c d e", "s"), (5, "x", "t"), (5, "x", "t"), (7, LONG, "t"), (8, "é 😀 ünï", "u")]
@@ -49,6 +49,31 @@ def test_stages_decide_by_row(spark):
     assert same(left) == sorted([p for p in plain if p[0] % 5] + extra[2:], key=str)
 
 
+def test_near_copies_at_their_similarity(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):  # up to four words replaced: similarities on both sides of 0.8
+        for j in range(1, 5):
+            words = t.split()
+            for at in rng.sample(range(5, 95), j):
+                words[at] = f"v{rng.randrange(10**6)}"
+            rows.append((100 * j + i, " ".join(words)))
+    base = [f"c{k}" for k in range(60)]
+    rows += [(1000 + i, " ".join([*base[:40], *(f"x{i}y{k}" for k in range(6))])) for i in range(40)]  # one large key
+    got = {r["doc_id"] for r in near_copies.keep(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    for _ in rows:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(i, least.get(c, i))
+    assert got == set(least.values()) and 60 < len(got) < len(rows)
+
+
 def test_rice_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 500):
