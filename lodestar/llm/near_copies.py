@@ -5,7 +5,7 @@ components of all links are found exactly. Shingles are put in one order, rarer
 order is right, a good one keeps keys small). Two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles of each, so only rows that share such a key are compared.
 
-Rows of a key are ranked by (size, node). Round r compares the next 8 * 2^r ranks of each key with all ranks behind
+Rows of a key are ranked by (size, node). A round compares the next ranks of each key, twice as many as the one before, with all ranks behind
 them, and leaves pairs out that are in one component already: a key full of copies is done after a round.
 
 Defined results: null and blank texts have the one shingle of no words; a text shorter than a shingle is one shingle.
@@ -25,7 +25,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 TABLE = 20  # bits of the table of counts
-FIRST = 8  # ranks of each key that the first round compares
+FIRST = 1  # ranks of each key that the first round compares; every round compares twice as many
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -92,10 +92,10 @@ def keys(nodes: DataFrame, similarity: float) -> DataFrame:
                 size.append(np.full(len(first), n))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], ["key", "node", "n"])
 
-    every = common.stored(nodes.mapInArrow(run, "key bigint, node bigint, n bigint"), "prefixes")
-    twice = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    ranked = F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1
-    return common.stored(every.join(twice, "key", "left_semi").withColumn("rank", ranked), "keys")
+    every = nodes.mapInArrow(run, "key bigint, node bigint, n bigint")
+    of = Window.partitionBy("key")
+    ranked = every.withColumn("c", F.count("*").over(of)).where("c > 1").withColumn("rank", F.row_number().over(of.orderBy("n", "node")) - 1)
+    return common.stored(ranked.select("key", "node", "n", "rank"), "keys")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -110,6 +110,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
+    pairs = common.stored(pairs, "near-pairs")
+    used = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-used")
+    nodes = common.semi_by(nodes, used, ["node"])  # only these sets are shuffled
     wide = pairs.join(nodes.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -140,11 +143,9 @@ def keep(spark: SparkSession, docs: DataFrame, width: int = SHINGLE, similarity:
     """docs with one row of each component, that with the smallest doc_id (of rows without id only where all are)."""
     rows = common.numbered(docs, "near-rows")
     each = sets(rows, width)
-    of = common.stored(each.select("_row", F.sha2("s", 256).alias("h")).withColumn("node", F.min("_row").over(Window.partitionBy("h"))).select("_row", "node"), "near-nodes")
-    nodes = common.stored(each.join(of.where("_row = node"), "_row").select("node", "n", "s"), "near-sets")
-    tied = components(nodes, similarity)
-    placed = of.join(tied, "node", "left").select("_row", F.coalesce("root", "node").alias("root"))
-    placed = placed.join(rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("k")), "_row")
+    tied = components(each.withColumnRenamed("_row", "node"), similarity)
+    placed = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("k"))
+    placed = placed.join(tied.withColumnRenamed("node", "_row"), "_row")
     least = placed.groupBy("root").agg(F.min("k").alias("k"), F.count("*").alias("c")).where("c > 1").select("root", "k._row")
     gone = placed.join(least.withColumnRenamed("_row", "kept"), "root").where("_row <> kept").select("_row")
     return common.semi_by(rows, common.stored(gone, "near-copies"), ["_row"], "left_anti").select(*docs.columns)
