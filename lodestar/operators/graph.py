@@ -1,4 +1,4 @@
-"""Call graphs as edges(src, dst): levels, reachability, paths, degrees, affected sets."""
+"""Call graphs as edges(src, dst): levels, reachability, paths, degrees."""
 
 from __future__ import annotations
 
