@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -160,6 +163,18 @@ def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 50_000
     return out.withColumn(name, (F.col("_s") + F.col("_r")).cast("long")).drop("_c", "_s", "_r")
 
 
+@contextmanager
+def returned():
+    """Around the work on a partition: memory that it no longer needs goes back to the system, not to the worker's heap."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+
 def lowered(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 of a text column with A-Z lowered and nothing else; null counts as empty."""
     col = batch.column(name).cast(pa.binary())

@@ -12,7 +12,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -28,27 +27,32 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 LARGE = 0.1  # of the capacity
 GROUPS = 64
-#: This vocabulary drops white space, so that units need none before them. Only an ASCII space or line feed is cut at.
-WORDS = re.compile(r"[^ \n]+")
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, end: int = 0, kept: int = tokens.KEPT_UNITS) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and the end id, cut only where longer than capacity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tok, cache = tokens.tokenizer(name), tokens.listed_units(name, kept)
-        last = np.array([end], "<u4").tobytes()
-        for b in batches:
-            out = ([], [], [], [], [])
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc, parts in zip(b.column("doc_id").to_pylist(), tokens.encoded(tok, cache, texts, WORDS, None), strict=True):
-                ids = b"".join(parts) + last
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for col, v in zip(out, (doc, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column("doc_id").type), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with common.returned():
+            code = tokens.encoder(name)
+            for b in batches:
+                out = ([], [], [], [], [])
+                for first, raw, offsets in tokens.runs(b.column("text")):
+                    ids, n = code.encoded(raw, offsets)
+                    ends = np.cumsum(n + 1)
+                    full = np.full(len(ids) + len(n), end, "<u4")
+                    kept = np.ones(len(full), bool)
+                    kept[ends - 1] = False
+                    full[kept] = ids
+                    at = 0
+                    for row, to in enumerate(ends.tolist(), first):
+                        for i, a in enumerate(range(at, to, capacity)):
+                            part = full[a : min(to, a + capacity)]
+                            for col, v in zip(out, (row, i, a - at, len(part), zlib.crc32(part)), strict=True):
+                                col.append(v)
+                        at = to
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -181,9 +185,9 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, large: float =
     return [(lengths, n) for lengths, n in out]
 
 
-def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, kept: int = tokens.KEPT_UNITS) -> DataFrame:
-    """pieces() with sequence_id and offset; kept: units whose ids a worker keeps, which costs memory and saves time."""
-    cut = common.stored(pieces(docs, capacity, name, kept=kept).withColumn("_u", F.monotonically_increasing_id()), "pieces")
+def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY) -> DataFrame:
+    """pieces() with sequence_id and offset."""
+    cut = common.stored(pieces(docs, capacity, name).withColumn("_u", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row per length
     runs, taken, base = [], defaultdict(int), 0
     for lengths, n in planned(histogram, capacity):

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import common, exact_dedup, kneser_ney, mixing, near_copies, packing, page_text, pii, simhash_dedup, span_hash, tokens, toxicity
@@ -124,15 +125,26 @@ def test_mixing(spark, docs, none):
     assert rows.count() == 0 and pieces.count() == 0
 
 
-def test_tokens_splice():
-    tok = tokens.tokenizer(tokens.COUNTED)
-    rng = random.Random(2)
-    for text in ("ab cd\n" * 900, "a" * 5000, " " * 5000 + "x", "".join(rng.choice(" \n\ta'é.<|endoftext|>日") for _ in range(6000))):
-        assert tokens.spliced(tok, text, 1000, 16) == tok.encode(text, add_special_tokens=False).ids
+PARTS = [" ", "\n", "\t", "a", "Bc", "é", "É", "ß", "×", "1", "23", "'", "'s", "'t", "'re", "-", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "日", "\u00a0", "\u2003", "e\u0301", "Ж", "İ", "😀", "\r\n", "  ", "\n\n", "the", "World", "\x1c", "ÿ", "Å"]
+
+
+@pytest.mark.parametrize("name", [tokens.COUNTED, packing.VOCABULARY])
+def test_encoder_equals_the_library(name):
+    rng, code = random.Random(2), tokens.encoder(name)
+
+    def same(texts, **how):
+        want = [e.ids for e in code.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        for first, raw, offsets in tokens.runs(pa.array(texts, pa.string()), 50_000):
+            ids, n = code.encoded(raw, offsets, **how)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[first : first + len(n)]
+
+    same(["".join(rng.choices(PARTS, k=rng.randrange(30))) for _ in range(5000)] + [None, ""])
+    long = ["".join(rng.choices(PARTS, k=2000)) for _ in range(40)]
+    same([*long, "ab cd\n" * 900, "a" * 5000, " " * 5000 + "x", "日" * 3000], size=300, overlap=80)  # spliced, some only after widening
 
 
 def test_token_counts(docs, none):
-    tok = tokens.tokenizer(tokens.COUNTED)
+    tok = tokens.encoder(tokens.COUNTED).tok
     for r in tokens.counts(docs).collect():
         text = next(t for i, t, _ in ROWS if i == r["doc_id"]) or ""
         assert (r["n_tokens"], r["n_bytes"]) == (len(tok.encode(text, add_special_tokens=False).ids), len(text.encode()))
