@@ -38,12 +38,59 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a stored table that nothing will read any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a row number `_row`, stored, so that the number stays with its row whenever it is read."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    """(doc, row): each row of docs as one struct, so that no name of its columns can clash, and a number that stays
+    with the row whenever it is read.
+
+    A plain read of Parquet files needs no copy: the number is the file's and the row's place in it. Anything else
+    is written to the shared folder first.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if not _plain_files(docs):
+        return stored(docs.select(doc).withColumn("row", F.monotonically_increasing_id()), name)
+    files = docs.select(F.col("_metadata.file_path").alias("file")).distinct()
+    files = stored(files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("no")), f"{name}-files")
+    placed = docs.select(doc, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    few = files.count() <= BROADCAST_ROWS
+    return placed.join(F.broadcast(files) if few else files, "file").select("doc", (F.shiftleft("no", 34) + F.col("at")).alias("row"))
+
+
+def _plain_files(docs: DataFrame) -> bool:
+    """Whether docs is a scan of Parquet files with nothing but projections and filters on it."""
+    if "_metadata" in docs.columns:
+        return False
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+        while plan.nodeName() in ("Project", "Filter"):
+            plan = plan.children().apply(0)
+        return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString() and docs.select("_metadata.row_index") is not None
+    except Exception:  # noqa: BLE001 - any other kind of plan or session is copied
+        return False
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
+    """left joined to right(on, size, ...), one row per key, where `size` is how many rows of left have the key.
+
+    Keys with over a thousandth of all rows, of which there can be at most a thousand, are broadcast, so that none
+    of them makes a large task; the rest is shuffled. how: inner or left.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(size) > max(1000, total // 1000)))
+    few = right.where(F.col(size) <= max(1000, total // 1000))
+    rest = left.join(hot.select(*on), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(few, on, how))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -117,12 +164,13 @@ def _null_first(v):
     return tuple((x is not None, x) for x in v) if isinstance(v, tuple) else (v is not None, v)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for all nodes of links(a, b): root is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each replaces links by as many or fewer links, minima are
-    pre-aggregated before the shuffle, and every round is written to the shared folder. A hub is joined to its
-    minimum through a hash-salted exchange that adaptive execution can split.
+    Alternating large-star and small-star steps, which settle in a number of rounds that grows with the square of the
+    logarithm of the nodes at most; an error is raised should `rounds` not be enough. Each round replaces links by
+    as many or fewer links, minima are pre-aggregated before the shuffle, hubs are joined by broadcast, and every
+    round is written to the shared folder in place of the one before.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(rounds):
@@ -130,11 +178,14 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if before[0] == 0:
             break
         both = edges.union(edges.select(F.col("b"), F.col("a")))  # large star: neighbours above a node go to its minimum
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))  # small star: neighbours below a node go to its minimum
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = stored(small.where("a <> b").distinct(), "links")
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "stars")
+        large = stored(spread_join(both, low, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
+        dropped(low)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")  # small star: those below
+        small = spread_join(large, low, ["a"], "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        old, edges = edges, stored(small.where("a <> b").distinct(), "links")
+        for table in (old, large, low):
+            dropped(table)
         if _digest(edges) == before:
             break
     else:
@@ -146,15 +197,15 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
 
 
-def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 50_000) -> DataFrame:
-    """Adds `name`, a number from 0 within each value of `by`, without bringing one value's rows into one task.
+def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 2_000) -> DataFrame:
+    """Adds `name`, a number from 0 within each value of `by` (few values), without one value's rows in one task.
 
-    Rows are cut by a hash of `order` into chunks of about `per` rows; counts of chunks are summed over a window
-    (a few rows), then rows are numbered inside their chunk.
+    Each value's rows are cut by a hash of `order` into chunks of about `per` rows; counts of chunks are summed over a
+    window (a few rows), then rows are numbered inside their chunk.
     """
-    total = df.count()
-    k = max(1, math.ceil(total / per))
-    df = df.withColumn("_c", F.pmod(F.xxhash64(*order), F.lit(k)))
+    many = df.groupBy(by).agg(F.ceil(F.count("*") / per).alias("_k"))
+    few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    df = df.join(F.broadcast(many) if few else many, by).withColumn("_c", F.pmod(F.xxhash64(*order), F.col("_k"))).drop("_k")
     counts = df.groupBy(by, "_c").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select(F.col(by), F.col("_c"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_s"))

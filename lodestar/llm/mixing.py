@@ -6,11 +6,12 @@ source's shuffled stream of documents (each at most `epochs` times). Joining slo
 pieces of documents in slot order. A source's count of slots differs from its share by a few at any length.
 
 Ranks and stream positions are two-level sums (per chunk, then inside it), so that no source is gathered in one
-task. All draws are hashes of a seed, so reruns agree.
+task. All draws are hashes of a seed and a document's own id, source and text, so reruns agree, however the rows are
+laid out in files; only rows that are equal in all three can change places.
 
-Defined results: null or empty text has size 0 and takes nothing; sources sort by code point, null last; repeated
-rows are documents of their own as long as they differ in a column, else they share the sum; an empty table gives
-an empty result; other columns are ignored.
+Defined results: null or empty text has size 0 and takes nothing; texts of any length are counted whole; sources sort
+by code point, null last; a null doc_id is an id like any other; repeated rows are documents of their own; an empty
+table gives an empty result; other columns, whatever their names, are ignored (and kept by keep()).
 """
 
 from __future__ import annotations
@@ -46,16 +47,18 @@ def targets(sizes: dict, cycle=(3.0, 1.0, 2.0), share: float = 1.5, cap: float =
     return out
 
 
-def stream(sized: DataFrame, seed: int, per: int = 20_000) -> DataFrame:
-    """sized(row, src, size) with `at`: the words ahead of the document in its source's shuffled stream."""
-    k = max(1, math.ceil(sized.count() / per))
-    sized = sized.withColumn("_h", F.xxhash64("row", F.lit(seed))).withColumn("_c", F.pmod(F.shiftright("_h", 8), F.lit(k)))
+def stream(sized: DataFrame, seed: int, per: int = 2_000) -> DataFrame:
+    """sized(row, key, src, size, of) with `at`: the words ahead of the document in its source's shuffled stream.
+
+    key is a hash of the document itself; `of` is how many documents its source has.
+    """
+    sized = sized.withColumn("_h", F.xxhash64("key", F.lit(seed))).withColumn("_c", F.pmod(F.shiftright("_h", 8), F.ceil(F.col("of") / per)))
     sums = sized.groupBy("src", "_c").agg(F.sum("size").alias("_n"))
     ahead = Window.partitionBy("src").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "_c", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy("src", "_c").orderBy("_h", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "_c").orderBy("_h", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("_r", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["src", "_c"])
-    return out.withColumn("at", F.col("_s") + F.col("_r")).drop("_h", "_c", "_s", "_r")
+    return out.withColumn("at", F.col("_s") + F.col("_r")).drop("_h", "_c", "_s", "_r", "key", "of")
 
 
 def schedule(spark: SparkSession, goal: list[float], block: int) -> DataFrame:
@@ -80,22 +83,29 @@ def schedule(spark: SparkSession, goal: list[float], block: int) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents: row, doc_id, source, size, source_size, target; pieces: slot, row, epoch, first, words).
 
-    first and words say which words of the document the slot takes, in its epoch-th use.
+    first and words say which words of the document the slot takes, in its epoch-th use. `row` numbers the rows of
+    docs as common.numbered does.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    by = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # a row per source
+    return _mixed(spark, common.numbered(docs, "mixing-rows"), cycle, share, cap, block, seed)
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, cycle, share: float, cap: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select(
+        "row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("doc.doc_id", "doc.source", "doc.text").alias("key"),
+    )
+    rows = common.stored(rows, "sizes")
+    by = {r["source"]: (r["n"], r["of"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("of")).collect()}  # a row per source
     names = sorted(by, key=lambda s: (s is None, [ord(c) for c in s or ""]))
-    goal = targets({s: by[s] for s in names}, cycle, share, float(cap))
-    kind = "source string, src int, source_size long, target double"
-    known = spark.createDataFrame([(s, i, int(by[s]), float(goal[s])) for i, s in enumerate(names)], kind)
+    goal = targets({s: by[s][0] for s in names}, cycle, share, float(cap))
+    kind = "_source string, src int, source_size long, target double, of long"
+    known = spark.createDataFrame([(s, i, int(by[s][0]), float(goal[s]), by[s][1]) for i, s in enumerate(names)], kind)
     known = known.hint("broadcast" if len(names) <= 10_000 else "merge")
-    rows = rows.join(known, rows["source"].eqNullSafe(known["source"])).drop(known["source"])
+    rows = rows.join(known, rows["source"].eqNullSafe(known["_source"])).drop("_source")
     if not sum(goal.values()):
         none = spark.createDataFrame([], "slot long, row long, epoch int, first long, words long")
         return rows, none
-    # equal points of different rows are told apart by the row's id, which follows its content
-    lone = stream(rows.where("size > 0").select("row", "src", "size", "source_size"), seed)
+    lone = stream(rows.where("size > 0").select("row", "key", "src", "size", "source_size", "of"), seed)
     lone = lone.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
     lone = lone.withColumn("at", F.col("at") + F.col("epoch") * F.col("source_size"))
     lone = lone.withColumn("rank", F.explode(F.sequence((F.col("at") / block).cast("long"), ((F.col("at") + F.col("size") - 1) / block).cast("long"))))
@@ -106,20 +116,20 @@ def mixture(spark: SparkSession, docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), shar
     return rows, both.select("slot", "row", "epoch", first.alias("first"), (last - first).alias("words"))
 
 
-def keep(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+def keep(spark: SparkSession, docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """docs as the mixture takes them: a row per document and use, with the text cut to the words taken."""
-    keyed = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    order = keyed.select(F.col("_row").alias("doc_id"), "source", "text")
-    rows, pieces = mixture(spark, order, **how)
-    spans = pieces.groupBy("row", "epoch").agg(F.min("first").alias("_a"), F.max(F.col("first") + F.col("words")).alias("_z"))
-    spans = spans.join(rows.select("row", F.col("doc_id").alias("_row"), F.col("size").alias("_n")), "row").drop("row", "epoch")
-    out = keyed.join(spans, "_row")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.col("_a").cast("int") + 1, (F.col("_z") - F.col("_a")).cast("int"))
-    cut = (F.col("_z") - F.col("_a")) < F.col("_n")
-    out = out.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
+    keyed = common.numbered(docs, "mixed")
+    rows, pieces = _mixed(spark, keyed, cycle, share, cap, block, seed)
+    spans = pieces.groupBy("row", "epoch").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("words")).alias("z"))
+    spans = spans.join(rows.select("row", "size"), "row").select("row", "a", "z", "size")
+    out = keyed.join(spans, "row")
+    words = F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), 0), F.col("a").cast("int") + 1, (F.col("z") - F.col("a")).cast("int"))
+    cut = (F.col("z") - F.col("a")) < F.col("size")
+    text = F.when(cut, F.array_join(words, " ")).otherwise(F.col("doc.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

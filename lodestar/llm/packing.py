@@ -6,8 +6,9 @@ optimised by column generation, actual lengths are substituted for rounded ones,
 above all, is placed best-fit. The plan is a bounded table of (length, ranks) -> (sequences, offset); pieces are
 ranked per length and joined to it.
 
-Defined results: null and empty texts are one piece with the end id; repeated rows are documents of their own; an
-empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts are one piece with the end id; texts of any length are encoded whole; repeated
+rows are documents of their own; a null doc_id is kept; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -203,7 +204,8 @@ def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name:
     plan = spark.createDataFrame(runs, "length long, lo long, hi long, base long, at array<long>")
     ranked = common.ranks(cut, "length", ["_u"], "_k")
     k = F.col("_k") - F.col("lo")
-    both = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("_k") >= F.col("lo")) & (F.col("_k") < F.col("hi"))).drop(plan["length"])
+    plan = plan.hint("broadcast" if len(runs) <= common.BROADCAST_ROWS else "merge")
+    both = ranked.join(plan, (ranked["length"] == plan["length"]) & (F.col("_k") >= F.col("lo")) & (F.col("_k") < F.col("hi"))).drop(plan["length"])
     return both.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.floor(k / F.size("at"))).cast("long").alias("sequence_id"), F.get("at", (k % F.size("at")).cast("int")).alias("offset"))
 
 

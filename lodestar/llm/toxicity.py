@@ -7,9 +7,11 @@ labels. Labels tell the P rows and pi, nothing else; the score reads the text al
 The training sample is bounded: at most POSITIVES toxic and UNLABELLED other training rows, the first by a hash of
 the id. Scoring covers every text whole.
 
-Defined results: null and empty texts score the model's bias; rows without a label are scored like any other; a
+Defined results: null and empty texts score the model's bias; texts of any length are read whole; repeated rows get a
+row each; rows without a label are scored like any other; a
 null doc_id belongs to the training fold; without any toxic training row every score is 0; several labels of a
-document count as toxic if one is; other columns are ignored.
+document count as toxic if one is; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -142,6 +144,10 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((on, weights[on]))  # at most 2^BITS numbers
 
     def run(batches):
+        with common.returned():
+            yield from score(batches)
+
+    def score(batches):
         on, value = shared.value
         table = dict(zip(on.tolist(), value.tolist(), strict=True))
         known: dict[str, tuple] = {}
@@ -174,9 +180,10 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_on: Da
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score the threshold or more, whatever their doc_id."""
     rows = common.numbered(docs, "toxicity-rows")
-    found = scores(spark, rows.select(F.col("_row").alias("doc_id"), "text"), labels, train_on=rows)
-    gone = common.stored(found.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_row")), "toxic")
-    return common.semi_by(rows, gone, ["_row"], "left_anti").select(*docs.columns)
+    texts = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    found = scores(spark, texts, labels, train_on=rows.select("doc.doc_id", "doc.text"))
+    gone = common.stored(found.where(F.col("score") >= threshold).select(F.col("doc_id").alias("row")), "toxic")
+    return common.semi_by(rows, gone, ["row"], "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
