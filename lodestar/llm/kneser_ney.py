@@ -13,7 +13,7 @@ that is in a third of all pairs does not make a large shard.
 Words are 64-bit hashes in the vocabulary, so that counts are exact but for collisions of 64 bits; in pairs each
 word has 40 bits.
 
-Defined results: null and empty texts are one end token; an empty training fold gives every token the probability
+Defined results: null and empty texts are one end token; texts of any length are scored whole; an empty training fold gives every token the probability
 1 / (V + 1) = 1; a null doc_id belongs to the training fold; repeated rows count as often as they stand; other
 columns are ignored.
 """
@@ -211,7 +211,7 @@ def merged(blocks: DataFrame, folder: str, words_shards: int) -> DataFrame:
         if kind == WORDS:
             words, c = summed(*cols)
             real = words != BEGIN
-            out = [(WORDS, shard, packed(words, c)), (TALLY, 0, np.array([real.sum(), c[real].sum(), 0, 0, 0, 0], U).tobytes())]
+            out = [(WORDS, shard, packed(words, c)), (TALLY, -1, np.array([real.sum(), c[real].sum(), 0, 0, 0, 0], U).tobytes())]
         else:
             v, w, c = cols
             s = U(64 - PAIR_BITS)
@@ -223,7 +223,7 @@ def merged(blocks: DataFrame, folder: str, words_shards: int) -> DataFrame:
             g, v, w = g[cuts], v[cuts], w[cuts]
             many = c >= U(255)
             _write(folder, f"pairs-{shard}", g, np.append(g[many], U(int(many.sum()))), c[many], np.minimum(c, U(255)).astype(np.uint8))
-            out = [(TALLY, 0, np.array([0, 0, *((c == U(k)).sum() for k in (1, 2, 3, 4))], U).tobytes())]
+            out = [(TALLY, shard, np.array([0, 0, *((c == U(k)).sum() for k in (1, 2, 3, 4))], U).tobytes())]
             seen = summed(v, (c == U(1)).astype(U), (c == U(2)).astype(U), (c > U(2)).astype(U))
             out += _dealt(CONTEXTS, words_shards, seen[0] << s, *seen)
             cont = summed(w, np.ones(len(w), U))
@@ -280,17 +280,17 @@ class Model:
         self.folder, self.shards, self.d, self.d1 = folder, shards, np.array([0, *d]), np.array([0, *d1])
         self.total, self.size, self.tokens, self.lam = total, size, tokens, lam
         self.open: dict[str, list | None] = {}
+        self.written: frozenset[str] = frozenset()
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
     def arrays(self, name: str):
         if name not in self.open:
-            try:
-                raw = np.memmap(os.path.join(self.folder, name), np.uint8, "r")
-            except FileNotFoundError:
+            if name not in self.written:  # no token of this shard was counted
                 self.open[name] = None
                 return None
+            raw = np.memmap(os.path.join(self.folder, name), np.uint8, "r")  # an error where this worker cannot see the folder
             n = int(raw[:8].view(U)[0])
             keys = raw[8 : 8 + 8 * n].view(U)
             if name.startswith("words"):
@@ -364,19 +364,23 @@ def trained(train: DataFrame) -> Model:
     n = common.partitions(spark)
     shards = (max(8, n // 4), 2 * n)  # of words, of pairs: every pair shard sends a block to every word shard
     parts = common.stored(merged(counted(train, shards), folder, shards[0]), "language-model")
-    tally = _tally(parts, 6)
+    tally, pairs = _tally(parts, 6)
     d = discounts(tally[2:])
-    n = _tally(vocabulary(parts.where(F.col("kind") != TALLY), folder, d), 6)
+    n, words = _tally(vocabulary(parts.where(F.col("kind") != TALLY), folder, d), 6)
     d1 = discounts(n[:4])
     lam = (d1[0] * n[0] + d1[1] * n[1] + d1[2] * n[4]) / n[5] if n[5] else 1.0
-    return Model(folder, shards, d, d1, n[5], tally[0], tally[1], lam)
+    model = Model(folder, shards, d, d1, n[5], tally[0], tally[1], lam)
+    model.written = frozenset([*(f"pairs-{s}" for s in pairs), *(f"words-{s}" for s in words)])
+    return model
 
 
-def _tally(rows: DataFrame, width: int) -> list[int]:
-    out = [0] * width
-    for r in rows.where(F.col("kind") == TALLY).select("block").collect():  # a few numbers per shard
+def _tally(rows: DataFrame, width: int) -> tuple[list[int], set[int]]:
+    """Sums of the tallies, and the shards that have written a file."""
+    out, wrote = [0] * width, set()
+    for r in rows.where(F.col("kind") == TALLY).select("shard", "block").collect():  # a few numbers per shard
         out = [a + int(b) for a, b in zip(out, np.frombuffer(r["block"], U), strict=True)]
-    return out
+        wrote.add(r["shard"])
+    return out, wrote - {-1}
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
