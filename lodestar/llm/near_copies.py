@@ -1,14 +1,18 @@
-"""Near-copies by verified shingle similarity, for the pipeline's near-duplicate stage.
+"""Verified shingle similarity for the near-duplicate stage of operator 4.
 
-Two rows are linked where the Jaccard similarity of their sets of word shingles is at least SIMILARITY; the
-components of all links are found exactly. Shingles are put in one order, rarer first (by a table of counts; any
-order is right, a good one keeps keys small). Two sets of similarity t share one of the first
-n - ceil(t n) + 1 shingles of each, so only rows that share such a key are compared.
+Multi-index hashing finds what lies within a few bits; texts of similarity 0.8 differ in about ten of 64 bits, for
+which Hamming balls are too large. This module verifies the links that hashing finds, and finds the others exactly.
 
-Rows of a key are ranked by (size, node). A round compares the next ranks of each key, twice as many as the one before, with all ranks behind
-them, and leaves pairs out that are in one component already: a key full of copies is done after a round.
+Two rows are linked where the Jaccard similarity of their sets of word shingles is at least SIMILARITY. Shingles are
+put in one order, rarer first (by a table of counts; any order is right, a good one keeps keys small). Two sets of
+similarity t share one of the first n - ceil(t n) + 1 shingles of each, so only rows that share such a key are compared.
 
-Defined results: null and blank texts have the one shingle of no words; a text shorter than a shingle is one shingle.
+Rows of a key are ranked by (size, node). A round compares the next ranks of each key, twice as many as the one before,
+with all ranks behind them, and leaves pairs out that are in one component already: a key full of copies, which
+hashing has joined, costs no comparison.
+
+Defined results: null and blank texts have the one shingle of no words; a text shorter than a shingle is one shingle;
+texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -44,15 +48,24 @@ def needed(n, similarity: float):
     return np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64)
 
 
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes: a bit is set where over half of them have it."""
+    ones = sum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for h in np.array_split(hashes, len(hashes) // 65_536 + 1))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def sets(rows: DataFrame, width: int) -> DataFrame:
-    """(_row, n, s): size and bytes of each row's set."""
+    """(node, fp, n, s): fingerprint, size and bytes of the set of each of rows(row, text)."""
 
     def run(batches):
-        for b in batches:
-            got = [shingles(t, width) for t in common.lowered(b)]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["_row", "n", "s"])
+        with common.returned():
+            for b in batches:
+                for at in range(0, b.num_rows, 1_000):
+                    some = b.slice(at, 1_000)
+                    got = [shingles(t, width) for t in common.lowered(some)]
+                    yield pa.RecordBatch.from_arrays([some.column("row"), pa.array([folded(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "fp", "n", "s"])
 
-    return common.stored(rows.select("_row", "text").mapInArrow(run, "_row bigint, n bigint, s binary"), "shingles")
+    return common.stored(rows.select("row", "text").mapInArrow(run, "node bigint, fp bigint, n bigint, s binary"), "shingles")
 
 
 def counts(nodes: DataFrame) -> np.ndarray:
@@ -117,35 +130,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that are linked to another."""
-    spark = nodes.sparkSession
+def components(nodes: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that are linked to another; links(a, b) are those that are known."""
     key = keys(nodes, similarity)
     most = key.agg(F.max("rank")).first()[0] or 0
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
+    links = common.stored(links, "near-links")
+    roots = common.stored(common.components(links), "near-roots")
     lo, hi = 0, FIRST
     while lo < most:
         front = key.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"))
         behind = key.where(F.col("rank") > lo).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"))
         pairs = front.join(behind, "key").where((F.col("ra") < F.col("rb")) & (F.col("na") >= similarity * F.col("nb") - 1e-9)).select("a", "b").distinct()
-        if lo:
-            pairs = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ca")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("cb")), "b", "left")
-            pairs = pairs.where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
-        new = common.stored(verified(pairs, nodes, similarity), "near-links")
-        links = links.unionByName(new)
-        roots = common.stored(common.components(links), "near-roots")
+        pairs = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ca")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("cb")), "b", "left")
+        new = common.stored(verified(pairs.where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b"), nodes, similarity), "near-links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            old, roots = roots, common.stored(common.components(links), "near-roots")
+            common.dropped(old)
         lo, hi = hi, hi + 2 * (hi - lo)
+    common.dropped(key)
     return roots
-
-
-def keep(spark: SparkSession, docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id (of rows without id only where all are)."""
-    rows = common.numbered(docs, "near-rows")
-    each = sets(rows, width)
-    tied = components(each.withColumnRenamed("_row", "node"), similarity)
-    placed = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("k"))
-    placed = placed.join(tied.withColumnRenamed("node", "_row"), "_row")
-    least = placed.groupBy("root").agg(F.min("k").alias("k"), F.count("*").alias("c")).where("c > 1").select("root", "k._row")
-    gone = placed.join(least.withColumnRenamed("_row", "kept"), "root").where("_row <> kept").select("_row")
-    return common.semi_by(rows, common.stored(gone, "near-copies"), ["_row"], "left_anti").select(*docs.columns)

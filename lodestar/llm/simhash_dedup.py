@@ -8,11 +8,16 @@ one bit, the one with a zero there probes for the other.
 
 Rows that share a table key are adjacent after a sort by that key. Within a key, links are found by expanding one
 component after another, so a key with g fingerprints yields at most g - 1 links, never all pairs; the components
-are those of all links. Equal fingerprints are one node.
+are those of all links. Equal fingerprints are one node. A key of over CROWDED fingerprints is cut by the other bits:
+they fall into five parts, of which two fingerprints within four bits share one, so no key grows with the corpus.
 
-Defined results: null text counts as empty; empty texts have fingerprint zero and are linked like any other;
-repeated rows each get a result row; a null doc_id is never the smallest of a component with another id; an empty
-table gives an empty result; other columns are ignored.
+The pipeline's stage (keep) uses five words, verifies every link by the similarity of the shingle sets, and lets
+near_copies find the links of similarity SIMILARITY that lie further apart than four bits.
+
+Defined results: null text counts as empty; empty texts have fingerprint zero and are linked like any other; texts of
+any length are hashed whole; repeated rows each get a result row; a null doc_id is never the smallest of a component
+with another id; an empty table gives an empty result; other columns, whatever their names, are ignored (and kept by
+keep()).
 """
 
 from __future__ import annotations
@@ -23,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_copies
 
 SEGMENTS = ((43, 21, 1), (22, 21, 1), (0, 22, 0))  # lowest bit, bits, radius; sum of (radius + 1) = DISTANCE + 1
 DISTANCE = 4
 SEED = 42
 CHUNK = 1 << 16  # hashes whose bits are counted at once
+CROWDED = 4_096  # fingerprints of a key from which it is cut further
 DENSE = 256  # members of a key from which components are expanded instead of comparing neighbours
 
 
@@ -62,21 +68,51 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def probes(nodes: DataFrame) -> DataFrame:
-    """(key, probe, fp) for nodes(fp): each fingerprint's own key in each table, and the upper half of its balls."""
+def own_keys(fp: np.ndarray, t: int) -> np.ndarray:
+    low, width, _ = SEGMENTS[t]
+    return ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)) | np.uint64(t << 24)
+
+
+def probes(nodes: DataFrame, crowded: set[int] | None = None) -> DataFrame:
+    """(key, probe, fp) for nodes(fp): each fingerprint's own key in each table, and the upper half of its balls.
+
+    Rows of a crowded key come once for each of the five parts of the bits outside its segment, under keys of their own.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(np.array(sorted(crowded or ()), np.uint64))
+
+    def cut(t: int, key: np.ndarray, fp: np.ndarray):
+        low, width, _ = SEGMENTS[t]
+        rest = ((fp >> np.uint64(low + width)) << np.uint64(low) if low + width < 64 else np.zeros_like(fp)) | (fp & np.uint64((1 << low) - 1))
+        size = -(-(64 - width) // (DISTANCE + 1))
+        for i in range(DISTANCE + 1):
+            yield key << np.uint64(32) | np.uint64((i + 1) << 24) | (rest >> np.uint64(i * size)) & np.uint64((1 << size) - 1)
 
     def run(batches):
+        full = shared.value
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for t, (low, width, radius) in enumerate(SEGMENTS):
-                seg = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
+            for t, (_, width, radius) in enumerate(SEGMENTS):
+                own = own_keys(fp, t)
                 for flip in range(-1, width if radius else 0):
-                    mask = np.ones(len(fp), bool) if flip < 0 else (seg >> np.uint64(flip)) & np.uint64(1) == 0
-                    key = (seg | np.uint64(0 if flip < 0 else 1 << flip)) + np.uint64(t << 24)
-                    n = int(mask.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[mask].astype(np.int32)), pa.array(np.full(n, flip >= 0)), pa.array(fp[mask].view(np.int64))], ["key", "probe", "fp"])
+                    mask = np.ones(len(fp), bool) if flip < 0 else (own >> np.uint64(flip)) & np.uint64(1) == 0
+                    key = own[mask] | np.uint64(0 if flip < 0 else 1 << flip)
+                    deep = np.isin(key, full)
+                    for k, f in ((key[~deep] << np.uint64(32), fp[mask][~deep]), *((k, fp[mask][deep]) for k in cut(t, key[deep], fp[mask][deep]) if deep.any())):
+                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), flip >= 0)), pa.array(f.view(np.int64))], ["key", "probe", "fp"])
+
+    return nodes.mapInArrow(run, "key bigint, probe boolean, fp bigint")
 
-    return nodes.mapInArrow(run, "key int, probe boolean, fp bigint")
+
+def crowded_keys(nodes: DataFrame, most: int) -> set[int]:
+    """Keys with over `most` fingerprints, and those within a bit of them; there are at most 3 * 2^22 keys at all."""
+
+    def run(batches):
+        for b in batches:
+            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own_keys(fp, t) for t in range(len(SEGMENTS))]).astype(np.int64))], ["key"])
+
+    full = [r["key"] for r in nodes.select("fp").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key").collect()]
+    return {k ^ flip for k in full for flip in (0, *(1 << i for i in range(SEGMENTS[k >> 24][1])))}
 
 
 def key_links(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -104,8 +140,9 @@ def key_links(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, most: int = CROWDED) -> DataFrame:
     """Links (a, b) between different fingerprints whose components are those of all links within DISTANCE."""
+    crowded = crowded_keys(nodes, most)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -144,28 +181,46 @@ def links(nodes: DataFrame) -> DataFrame:
             yield flush(pa.Table.from_batches(held))
 
     spark = nodes.sparkSession
-    return probes(nodes).repartition(common.partitions(spark), "key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint")
+    return probes(nodes, crowded).repartition(common.partitions(spark), "key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 4, most: int = CROWDED) -> DataFrame:
     """One row per document: doc_id, fp, component_id."""
     prints = common.stored(fingerprints(docs, shingle), "simhash")
     nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
-    tied = common.components(links(nodes.select("fp")))
+    tied = common.components(links(nodes.select("fp"), most))
     low = tied.join(nodes, tied["node"] == nodes["fp"]).select("node", "root", "low")
     least = low.groupBy("root").agg(F.min("low").alias("least"))
     of = nodes.join(low.join(least, "root").select(F.col("node").alias("fp"), "least"), "fp", "left")
-    of = of.where("n > 1 OR least IS NOT NULL").select("fp", F.coalesce("least", "low").alias("component_id"))
-    out = prints.join(of, "fp", "left")
+    of = common.stored(of.where("n > 1 OR least IS NOT NULL").select("fp", "n", F.coalesce("least", "low").alias("component_id")), "classes")
+    out = common.spread_join(prints, of, ["fp"], "n", "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def similar(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): components of rows(row, text) whose sets of shingles are linked at this similarity or more.
+
+    Links within DISTANCE bits come first, by multi-index hashing; each is verified by the sets. They join nearly all
+    copies, so that the exact search for the rest has few pairs left to compare.
+    """
+    each = near_copies.sets(rows, shingle)
+    of = common.stored(each.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "near-prints")
+    same = common.spread_join(each.select("fp", "node"), of.where("n > 1"), ["fp"], "n").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(of.select("fp"))
+    near = near.join(of.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    return near_copies.components(each, similarity, near_copies.verified(near, each, similarity))
+
+
+def keep(spark: SparkSession, docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id (of rows without id only where all are)."""
     rows = common.numbered(docs, "near-rows")
-    found = classes(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"), "text"))
-    gone = common.stored(found.where("component_id <> doc_id").select("doc_id._row"), "near-copies")
-    return common.semi_by(rows, gone, ["_row"], "left_anti").select(*docs.columns)
+    tied = similar(rows.select("row", "doc.text"), shingle, similarity)
+    placed = rows.select("row", F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row").alias("k"))
+    placed = common.stored(common.semi_by(placed, tied.select(F.col("node").alias("row")), ["row"]).join(tied.withColumnRenamed("node", "row"), "row"), "near-placed")
+    least = placed.groupBy("root").agg(F.min("k").alias("k"), F.count("*").alias("n")).select("root", "n", F.col("k.row").alias("kept"))
+    gone = common.stored(common.spread_join(placed, least, ["root"], "n").where("row <> kept").select("row"), "near-copies")
+    return common.semi_by(rows, gone, ["row"], "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
