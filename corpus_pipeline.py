@@ -1,14 +1,18 @@
 """Documents to packed training sequences: toxic texts go, copies go, near-copies go, sources are mixed, tokens are packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, extra ones included, whatever their names.
+
+Defined results: null and empty texts are documents like any other (not toxic, copies of each other, near-copies of each
+other, nothing to mix, one piece each if they get that far); texts of any length are read whole; repeated rows are
+copies; rows without doc_id are decided by themselves; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import common, exact_dedup, mixing, near_copies, packing, toxicity
+from lodestar.llm import common, exact_dedup, mixing, packing, simhash_dedup, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep(spark, docs)
+    return simhash_dedup.keep(spark, docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
