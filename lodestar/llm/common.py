@@ -86,7 +86,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], size: str, how
     Keys with over a thousandth of all rows, of which there can be at most a thousand, are broadcast, so that none
     of them makes a large task; the rest is shuffled. how: inner or left.
     """
-    total = right.agg(F.sum(size)).first()[0] or 0
+    total, most = right.agg(F.sum(size), F.max(size)).first()
+    if not most or most <= max(1000, total // 1000):
+        return left.join(right, on, how)
     hot = F.broadcast(right.where(F.col(size) > max(1000, total // 1000)))
     few = right.where(F.col(size) <= max(1000, total // 1000))
     rest = left.join(hot.select(*on), on, "left_anti")

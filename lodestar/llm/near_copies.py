@@ -7,9 +7,9 @@ Two rows are linked where the Jaccard similarity of their sets of word shingles
 put in one order, rarer first (by a table of counts; any order is right, a good one keeps keys small). Two sets of
 similarity t share one of the first n - ceil(t n) + 1 shingles of each, so only rows that share such a key are compared.
 
-Rows of a key are ranked by (size, node). A round compares the next ranks of each key, twice as many as the one before,
-with all ranks behind them, and leaves pairs out that are in one component already: a key full of copies, which
-hashing has joined, costs no comparison.
+Rows of a key are ranked by (size, node). A round compares the next ranks of each key, four times as many as the one
+before, with all ranks behind them, and leaves out pairs that are in one component already. Keys whose rows are all in
+one component are dropped before each round, so that a key full of copies, which hashing has joined, costs nothing.
 
 Defined results: null and blank texts have the one shingle of no words; a text shorter than a shingle is one shingle;
 texts of any length are compared whole.
@@ -29,7 +29,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 TABLE = 20  # bits of the table of counts
-FIRST = 1  # ranks of each key that the first round compares; every round compares twice as many
+FIRST = 4  # ranks of each key that the first round compares; every round compares four times as many
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     pairs = common.stored(pairs, "near-pairs")
-    used = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-used")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = common.semi_by(nodes, used, ["node"])  # only these sets are shuffled
     wide = pairs.join(nodes.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -133,20 +133,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 def components(nodes: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are linked to another; links(a, b) are those that are known."""
     key = keys(nodes, similarity)
-    most = key.agg(F.max("rank")).first()[0] or 0
-    links = common.stored(links, "near-links")
     roots = common.stored(common.components(links), "near-roots")
     lo, hi = 0, FIRST
-    while lo < most:
-        front = key.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"))
-        behind = key.where(F.col("rank") > lo).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"))
-        pairs = front.join(behind, "key").where((F.col("ra") < F.col("rb")) & (F.col("na") >= similarity * F.col("nb") - 1e-9)).select("a", "b").distinct()
-        pairs = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ca")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("cb")), "b", "left")
-        new = common.stored(verified(pairs.where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b"), nodes, similarity), "near-links")
+    while True:
+        of = Window.partitionBy("key")
+        placed = key.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.withColumn("least", F.min("root").over(of)).withColumn("most", F.max("root").over(of)).where("least <> most").drop("least", "most")
+        old, key = key, common.stored(placed, "keys")
+        common.dropped(old)
+        if lo > (key.agg(F.max("rank")).first()[0] or 0):
+            break
+        front = key.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("root").alias("ca"))
+        behind = key.where(F.col("rank") > lo).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("root").alias("cb"))
+        pairs = front.join(behind, "key").where((F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & (F.col("na") >= similarity * F.col("nb") - 1e-9)).select("a", "b").distinct()
+        new = common.stored(verified(pairs, nodes, similarity), "near-links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            old, roots = roots, common.stored(common.components(links), "near-roots")
+            star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            old, roots = roots, common.stored(common.components(star.unionByName(new)), "near-roots")
             common.dropped(old)
-        lo, hi = hi, hi + 2 * (hi - lo)
+        common.dropped(new)
+        lo, hi = hi, hi + 4 * (hi - lo)
     common.dropped(key)
     return roots

@@ -171,10 +171,13 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 
 def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
-    p, u, prior = sample(docs if train_on is None else train_on, labels)
-    if not p or not 0 < prior < 1:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return scored(docs, *fit(p, u, prior))
+    with common.returned():  # the driver keeps nothing of the sample
+        p, u, prior = sample(docs if train_on is None else train_on, labels)
+        if not p or not 0 < prior < 1:
+            return docs.select("doc_id", F.lit(0.0).alias("score"))
+        weights, bias = fit(p, u, prior)
+        del p, u
+    return scored(docs, weights, bias)
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
