@@ -216,6 +216,18 @@ def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 2_000)
     return out.withColumn(name, (F.col("_s") + F.col("_r")).cast("long")).drop("_c", "_s", "_r")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Around an action: rows that hold long values come to Python in batches of few rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def returned():
     """Around the work on a partition: memory that it no longer needs goes back to the system, not to the worker's heap."""

@@ -60,12 +60,11 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         with common.returned():
             for b in batches:
-                for at in range(0, b.num_rows, 1_000):
-                    some = b.slice(at, 1_000)
-                    got = [shingles(t, width) for t in common.lowered(some)]
-                    yield pa.RecordBatch.from_arrays([some.column("row"), pa.array([folded(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "fp", "n", "s"])
+                got = [shingles(t, width) for t in common.lowered(b)]
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([folded(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "fp", "n", "s"])
 
-    return common.stored(rows.select("row", "text").mapInArrow(run, "node bigint, fp bigint, n bigint, s binary"), "shingles")
+    with common.small_batches(rows.sparkSession):
+        return common.stored(rows.select("row", "text").mapInArrow(run, "node bigint, fp bigint, n bigint, s binary"), "shingles")
 
 
 def counts(nodes: DataFrame) -> np.ndarray:
@@ -75,15 +74,16 @@ def counts(nodes: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(1 << TABLE, np.int64)
         for b in batches:
-            for s in b.column("s").to_pylist():
-                np.add.at(total, (np.frombuffer(s, np.uint64) >> np.uint64(64 - TABLE)).astype(np.int64), 1)
+            for s in b.column("s"):
+                np.add.at(total, (np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(64 - TABLE)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(0, 1 << TABLE, cut), pa.int64()), pa.array([total[i : i + cut].tobytes() for i in range(0, 1 << TABLE, cut)])], ["at", "v"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v, np.int64) for v in table.column("v").to_pylist())
         return pa.table({"at": table.column("at")[:1], "v": pa.array([total.tobytes()])})
 
-    got = nodes.select("s").mapInArrow(run, "at bigint, v binary").groupBy("at").applyInArrow(add, "at bigint, v binary").collect()
+    with common.small_batches(nodes.sparkSession):
+        got = nodes.select("s").mapInArrow(run, "at bigint, v binary").groupBy("at").applyInArrow(add, "at bigint, v binary").collect()
     out = np.zeros(1 << TABLE, np.int64)
     for r in got:
         out[r["at"] : r["at"] + cut] = np.frombuffer(r["v"], np.int64)
@@ -97,8 +97,8 @@ def keys(nodes: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for b in batches:
             key, node, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, n, s in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("s").to_pylist(), strict=True):
-                h = np.frombuffer(s, np.uint64)
+            for i, n, s in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("s"), strict=True):
+                h = np.frombuffer(s.as_buffer(), np.uint64)
                 first = h[np.lexsort((h, shared.value[(h >> np.uint64(64 - TABLE)).astype(np.int64)]))[: n - int(needed(n, similarity)) + 1]]
                 key.append(first)
                 node.append(np.full(len(first), i))
@@ -108,7 +108,20 @@ def keys(nodes: DataFrame, similarity: float) -> DataFrame:
     every = nodes.mapInArrow(run, "key bigint, node bigint, n bigint")
     of = Window.partitionBy("key")
     ranked = every.withColumn("c", F.count("*").over(of)).where("c > 1").withColumn("rank", F.row_number().over(of.orderBy("n", "node")) - 1)
-    return common.stored(ranked.select("key", "node", "n", "rank"), "keys")
+    with common.small_batches(nodes.sparkSession):
+        return common.stored(ranked.select("key", "node", "n", "rank"), "keys")
+
+
+def sharing(pairs: DataFrame, key: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b, na, nb) that share as many keys as sets with the overlap that they need must share.
+
+    With an overlap of o or more, prefixes of n - o + l shingles have l in common; prefixes here are n - ceil(t n) + 1
+    long, so l is the lesser of o - ceil(t n) + 1 for both sets. Only keys are shuffled for it, not sets.
+    """
+    ours = pairs.join(key.select(F.col("node").alias("a"), "key"), "a").join(key.select(F.col("node").alias("b"), "key"), ["b", "key"])
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9)
+    least = overlap - F.ceil(similarity * F.greatest("na", "nb") - 1e-9) + 1
+    return ours.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -117,8 +130,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     def run(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
@@ -145,8 +158,10 @@ def components(nodes: DataFrame, similarity: float, links: DataFrame) -> DataFra
             break
         front = key.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("root").alias("ca"))
         behind = key.where(F.col("rank") > lo).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("root").alias("cb"))
-        pairs = front.join(behind, "key").where((F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & (F.col("na") >= similarity * F.col("nb") - 1e-9)).select("a", "b").distinct()
-        new = common.stored(verified(pairs, nodes, similarity), "near-links")
+        pairs = front.join(behind, "key").where((F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & (F.col("na") >= similarity * F.col("nb") - 1e-9)).select("a", "b", "na", "nb").distinct()
+        pairs = sharing(pairs, key, similarity)
+        with common.small_batches(nodes.sparkSession):
+            new = common.stored(verified(pairs, nodes, similarity), "near-links")
         if not new.isEmpty():
             star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             old, roots = roots, common.stored(common.components(star.unionByName(new)), "near-roots")

@@ -209,7 +209,9 @@ def similar(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     near = links(of.select("fp"))
     near = near.join(of.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-    return near_copies.components(each, similarity, near_copies.verified(near, each, similarity))
+    with common.small_batches(rows.sparkSession):
+        near = common.stored(near_copies.verified(near, each, similarity), "near-links")
+    return near_copies.components(each, similarity, near)
 
 
 def keep(spark: SparkSession, docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
