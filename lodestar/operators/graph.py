@@ -13,17 +13,17 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(out, "node", "left").join(into, "node", "left").fillna(0, ["out_degree", "in_degree"])
 
 
-def reached(edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
-    """(node, depth): breadth first from starts(node). A round joins only the frontier; each is checkpointed."""
+def reached(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
+    """(node, depth): breadth first from starts(node), to the end or `hops` steps away. A round joins and checkpoints
+    only the frontier; what was seen before is the union of the frontiers."""
     edges = edges.select("src", "dst").distinct()
-    seen = starts.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
-    front = seen
-    for depth in range(1, most + 1):
+    seen = front = starts.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
+    depth = 0
+    while (hops is None or depth < hops) and not front.isEmpty():
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -33,7 +33,7 @@ def paths(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     now = starts.select(F.array("node").alias("path"))
     out = None
     for _ in range(longest):
-        now = now.join(edges, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
+        now = now.join(edges, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path")).checkpoint()
         out = now if out is None else out.unionByName(now)
     return out
 
@@ -50,7 +50,7 @@ def in_ranges(changes: DataFrame, ranges: DataFrame, key: str, line: str, first:
     return changes.withColumn("_cell", F.floor(F.col(line) / cell)).join(cells, [key, "_cell"]).where(F.col(line).between(F.col(first), F.col(last))).drop("_cell")
 
 
-def levels(edges: DataFrame, cyclic: int = 20, rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, cyclic: int = 20) -> DataFrame:
     """(node, level): 0 for a node that calls nothing, else one more than its highest callee.
 
     A call of itself counts as a callee of level 0. Nodes on or above a longer cycle get `cyclic`. A round settles one
@@ -60,9 +60,9 @@ def levels(edges: DataFrame, cyclic: int = 20, rounds: int = 1000) -> DataFrame:
     callers = edges.select(F.col("src").alias("node")).distinct().checkpoint()
     out = edges.select(F.col("dst").alias("node")).distinct().join(callers, "node", "left_anti").withColumn("level", F.lit(0))
     left, live = callers, edges.where("src <> dst").join(callers.withColumnRenamed("node", "dst"), "dst", "left_semi").checkpoint()
-    for level in range(1, rounds + 1):
-        if left.isEmpty():
-            break
+    level = 0
+    while not left.isEmpty():
+        level += 1
         blocked = live.select(F.col("src").alias("node")).distinct()
         settled = left.join(blocked, "node", "left_anti").checkpoint()
         if settled.isEmpty():
@@ -91,7 +91,7 @@ def path_counts(edges: DataFrame, level: DataFrame) -> DataFrame:
     return out
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node of the strongly connected component.
 
     The smallest ancestor colours every node; the nodes of a colour that reach its root are a component. Edges
@@ -100,9 +100,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     live = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
     out = None
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         colours = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")).checkpoint()
         while True:
             offers = live.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
@@ -124,7 +122,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return nodes.join(out, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
 
 
-def first_kept(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
+def first_kept(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, kept): taking nodes in ascending order, one is kept unless a kept smaller one is linked to it.
 
     A round keeps all open nodes without an open smaller neighbour at once, drops their neighbours, and goes on with
@@ -133,9 +131,7 @@ def first_kept(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFr
     live = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     left = nodes.select("node").distinct().checkpoint()
     out = left.select("node", F.lit(True).alias("kept")).where("false")
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         kept = left.join(live.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
         gone = live.join(kept.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         done = kept.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))).checkpoint()

@@ -38,3 +38,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.2, b: flo
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("q", "id").agg(F.sum(part).alias("score"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "id"))).where(F.col("rank") <= k)
+
+
+def around(docs: DataFrame, key: str, text: str, match: Column, lines: int) -> DataFrame:
+    """(key, n, line) of lines that match, given as a condition on `line`, and of those up to `lines` away."""
+    each = docs.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    near = Window.partitionBy(key).orderBy("n").rowsBetween(-lines, lines)
+    return each.withColumn("_m", F.max(match.cast("int")).over(near)).where("_m = 1").drop("_m")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,50 @@ def match_class(score: Column) -> Column:
     return F.when(score >= 0.99, "exact").when(score >= 0.85, "semantic").when(score >= 0.70, "related").when(score >= 0.60, "loose").otherwise("none")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, gate: str, k: int) -> DataFrame:
-    """For queries(q, v, gate) the k rows of corpus(id, u, gate) most alike within the gate: an equi-join, ranked."""
-    both = queries.join(corpus, gate).where("q <> id").select("q", "id", likeness(cosine(F.col("v"), F.col("u"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+#: Queries whose vectors go to every task; more of them are taken in blocks of this size.
+BLOCK = 2_000
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, turned: bool = False) -> DataFrame:
+    """For queries(q, v) the k rows of corpus(id, u) most alike, all rows compared: q, id, score, rank.
+
+    The corpus stays where it is. Blocks of BLOCK queries are sent to its partitions, where a product of matrices
+    scores them and each partition keeps its k best of each query; only those are shuffled. With turned=True it is
+    each corpus row that gets its k best queries. Scores are ranked to nine decimals, ties by id.
+    """
+    kinds = {"q": queries.schema["q"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
+    spark, by, tie = queries.sparkSession, ("id", "q") [not turned], ("q", "id")[not turned]
+
+    def matrix(lists: pa.Array) -> np.ndarray:
+        m = np.array(lists.to_pylist(), float)
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    out = None
+    rows = queries.select("q", "v").toLocalIterator()
+    while block := [r for _, r in zip(range(BLOCK), rows)]:  # noqa: B905 - ends with the shorter
+        names = [r["q"] for r in block]
+        shared = spark.sparkContext.broadcast((names, matrix(pa.array([r["v"] for r in block]))))
+
+        def run(batches, shared=shared):
+            names, left = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                score = np.round(1 - np.clip(1 - left @ matrix(b.column("u")).T, 0, 2) / 2, 12)
+                score = score.T if turned else score
+                most = min(k + 1, score.shape[1])  # one more than k: a row may meet itself
+                least = np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most]
+                row, col = np.nonzero(score >= least[:, None])  # ties at the end included
+                i, j = (col, row) if turned else (row, col)
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(score[row, col])], ["q", "id", "score"])
+
+        got = corpus.select("id", "u").mapInArrow(run, f"q {kinds['q']}, id {kinds['id']}, score double")
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = queries.select("q").crossJoin(corpus.select("id")).limit(0).withColumn("score", F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.round("score", 9).desc(), tie))
+    return out.where("q <> id").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def name_score(a: Column, b: Column) -> Column:

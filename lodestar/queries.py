@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .operators import findings, graph, profile, search, similarity, store
+from .plans import scratch
 from .plans import stand_ins as t
-
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 # profiles
 
@@ -126,9 +112,9 @@ def finding_directory_rollup(spark, d):
     return findings.directories(t.issues(spark, d).select("file_path"), "file_path").groupBy("prefix").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {t.ISSUES_SQL}, fp AS (SELECT DISTINCT md5(lower(trim(title))) AS h FROM issues WHERE severity = 'low') SELECT doc_id FROM issues WHERE severity <> 'low' AND md5(lower(trim(title))) NOT IN (SELECT h FROM fp)")
+@query(f"WITH {t.ISSUES_SQL}, fp AS (SELECT DISTINCT md5(lower(trim(body))) AS h FROM issues WHERE severity = 'low') SELECT doc_id FROM issues WHERE severity <> 'low' AND md5(lower(trim(body))) NOT IN (SELECT h FROM fp)")
 def finding_known_false_positives(spark, d):
-    i = t.issues(spark, d).withColumn("h", F.md5(F.lower(F.trim("title"))))
+    i = t.issues(spark, d).withColumn("h", F.md5(F.lower(F.trim("body"))))
     return i.where("severity <> 'low'").join(i.where("severity = 'low'").select("h").distinct(), "h", "left_anti").select("doc_id")
 
 
@@ -138,9 +124,9 @@ def finding_page(spark, d):
     return t.issues(spark, d).orderBy(rank, "doc_id").offset(20).limit(50).select("doc_id", "severity")
 
 
-@query(f"WITH {t.ISSUES_SQL} SELECT i.doc_id FROM issues i WHERE i.source IN ('src0', 'src1') AND NOT EXISTS (SELECT 1 FROM issues b WHERE b.source NOT IN ('src0', 'src1') AND lower(b.title) = lower(i.title))")
+@query(f"WITH {t.ISSUES_SQL} SELECT i.doc_id FROM issues i WHERE i.source IN ('src0', 'src1') AND NOT EXISTS (SELECT 1 FROM issues b WHERE b.source NOT IN ('src0', 'src1') AND md5(lower(b.body)) = md5(lower(i.body)))")
 def finding_baseline_anti_join(spark, d):
-    i = t.issues(spark, d).withColumn("sig", F.lower("title"))
+    i = t.issues(spark, d).withColumn("sig", F.md5(F.lower("body")))
     return i.where("source IN ('src0', 'src1')").join(i.where("source NOT IN ('src0', 'src1')").select("sig"), "sig", "left_anti").select("doc_id")
 
 
@@ -159,9 +145,8 @@ def _reach_sql(start: int) -> str:
 
 
 def _stored_calls(spark, d):
-    """The calls, with a checkpoint folder for the loops: the cluster's, or a temporary one where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
+    """The calls, with a checkpoint folder for the loops."""
+    scratch.checkpoints(spark)
     return t.calls(spark, d).checkpoint()
 
 
@@ -174,7 +159,7 @@ def graph_reachable(spark, d):
 b AS (SELECT list_append(p, dst) AS p FROM a JOIN calls ON src = p[-1] WHERE NOT list_contains(p, dst)), c AS (SELECT list_append(p, dst) AS p FROM b JOIN calls ON src = p[-1] WHERE NOT list_contains(p, dst))
 SELECT array_to_string(p, '>') AS path, len(p) - 1 AS edges FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""")
 def graph_paths(spark, d):
-    got = graph.paths(t.calls(spark, d), spark.createDataFrame([(3,)], "node int"), 3)
+    got = graph.paths(_stored_calls(spark, d), spark.createDataFrame([(3,)], "node int"), 3)
     return got.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).cast("long").alias("edges"))
 
 
@@ -230,24 +215,24 @@ def graph_unreferenced(spark, d):
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS q, b.vec_id AS id, 1 - least(greatest(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 0), 2) / 2 AS score
-  FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT q, id, rank, CASE WHEN score >= .99 THEN 'exact' WHEN score >= .85 THEN 'semantic' WHEN score >= .7 THEN 'related' WHEN score >= .6 THEN 'loose' ELSE 'none' END AS match
-FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def similarity_knn(spark, d):
     e = t.table(spark, d, "embeddings")
-    got = similarity.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("u"), "label"), "label", 5)
+    got = similarity.top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("u")), 5)
     return got.select("q", "id", "rank", similarity.match_class(F.col("score")).alias("match"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, 'fn_' || (vec_id % 4) || '_' || (vec_id % 5) AS name FROM embeddings),
 s AS (SELECT a.vec_id AS q, b.vec_id AS id, a.name AS x, b.name AS y, 1 - least(greatest(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 0), 2) / 2 AS score
-  FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
-c AS (SELECT *, list_distinct(string_split(x, '_')) AS p, list_distinct(string_split(y, '_')) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 15),
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+c AS (SELECT *, list_distinct(string_split(x, '_')) AS p, list_distinct(string_split(y, '_')) AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 15),
 h AS (SELECT q, id, 0.4::DOUBLE * (CASE WHEN q % 3 = id % 3 THEN 1 WHEN q % 2 = id % 2 THEN 0.5 ELSE 0 END)::DOUBLE + 0.3::DOUBLE * CASE WHEN x = y THEN 1::DOUBLE ELSE 0.3::DOUBLE + 0.3::DOUBLE * len(list_intersect(p, r)) / greatest(len(p), len(r)) END + 0.3::DOUBLE * score AS hybrid FROM c WHERE q % 3 = id % 3 OR q % 2 = id % 2)
 SELECT q, id, hybrid_rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(hybrid, 9) DESC, id) AS hybrid_rank FROM h WHERE hybrid >= 0.5) WHERE hybrid_rank <= 5""")
 def similarity_hybrid(spark, d):
     e = t.table(spark, d, "embeddings")
-    got = similarity.nearest(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("u"), "label"), "label", 15)
+    got = similarity.top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("u")), 15)
     name = lambda c: F.concat(F.lit("fn_"), F.col(c) % 4, F.lit("_"), F.col(c) % 5)
     file = F.when(F.col("q") % 3 == F.col("id") % 3, 1.0).when(F.col("q") % 2 == F.col("id") % 2, 0.5).otherwise(0.0)
     scored = got.withColumn("file_score", file).withColumn("function_score", similarity.name_score(name("q"), name("id")))
@@ -363,3 +348,6 @@ def pages_per_host(spark, d):
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity::BIGINT)::BIGINT AS quantity, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def pricing_summary(spark, d):
     return t.table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.count("*").alias("n"))
+
+
+from .suite import changes, profiles, scalars, stores, trees, triage  # noqa: E402, F401 - they add their queries
