@@ -97,11 +97,11 @@ def trace_costs_liberal(spark, d):
     return traces.liberal(frame_rows(spark, d)).withColumn("sources", F.array_join("sources", ","))
 
 
-@query(f"WITH {FRAMES}, a AS (SELECT name, owner, source, sum(cost)::BIGINT AS total, min(cost)::BIGINT AS own FROM fr GROUP BY 1, 2, 3), w AS (SELECT sum(total) AS w FROM a) SELECT name, owner, source, total, own FROM a, w WHERE own * 1.0::DOUBLE / w >= 0.0001 OR total * 1.0::DOUBLE / w >= 0.01")
+@query(f"WITH {FRAMES}, a AS (SELECT name, owner, source, sum(cost)::BIGINT AS total, min(cost)::BIGINT AS own FROM fr GROUP BY 1, 2, 3), w AS (SELECT sum(total) AS w FROM a) SELECT name, owner, source, total, own FROM a, w WHERE own * 1.0::DOUBLE / w >= 0.00001 OR total * 1.0::DOUBLE / w >= 0.0005")
 def trace_low_cost_drop(spark, d):
     a = frame_rows(spark, d).groupBy("name", "owner", "source").agg(F.sum("cost").alias("total"), F.min("cost").alias("own"))
     w = F.broadcast(a.agg(F.sum("total").alias("w")))
-    return a.crossJoin(w).where(profile.worth_keeping(F.col("own") * 1.0 / F.col("w"), F.col("total") * 1.0 / F.col("w"))).select("name", "owner", "source", "total", "own")
+    return a.crossJoin(w).where(profile.worth_keeping(F.col("own") * 1.0 / F.col("w"), F.col("total") * 1.0 / F.col("w"), 1e-5, 5e-4)).select("name", "owner", "source", "total", "own")
 
 
 @query(f"WITH {TRACES} SELECT trace, m AS cost FROM (SELECT trace, list_max(list_transform(frames, lambda f: f.cost)) AS m FROM tr) ORDER BY m DESC, trace LIMIT 50 OFFSET 100")
