@@ -217,7 +217,7 @@ def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 2_000)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
+def small_batches(spark: SparkSession, rows: int = 100):
     """Around an action: rows that hold long values come to Python in batches of few rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -240,6 +240,16 @@ def returned():
             trim(0)
 
 
+def freeing(run):
+    """A function of batches for mapInArrow, with returned() around the work on its partition."""
+
+    def wrapped(batches):
+        with returned():
+            yield from run(batches)
+
+    return wrapped
+
+
 def lowered(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 of a text column with A-Z lowered and nothing else; null counts as empty."""
     col = batch.column(name).cast(pa.binary())

@@ -187,7 +187,7 @@ def counted(train: DataFrame, shards: tuple[int, int]) -> DataFrame:
         if held:
             yield flush()
 
-    return train.select("text").mapInArrow(run, ROW)
+    return train.select("text").mapInArrow(common.freeing(run), ROW)
 
 
 def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
@@ -396,7 +396,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             n, known, base, score = (np.concatenate(c) if c else np.zeros(0) for c in cols)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(score.astype(float))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.freeing(run), f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([folded(x) for x in got], pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "fp", "n", "s"])
 
     with common.small_batches(rows.sparkSession):
-        return common.stored(rows.select("row", "text").mapInArrow(run, "node bigint, fp bigint, n bigint, s binary"), "shingles")
+        return common.stored(rows.select("row", "text").mapInArrow(common.freeing(run), "node bigint, fp bigint, n bigint, s binary"), "shingles")
 
 
 def counts(nodes: DataFrame) -> np.ndarray:
@@ -83,7 +83,7 @@ def counts(nodes: DataFrame) -> np.ndarray:
         return pa.table({"at": table.column("at")[:1], "v": pa.array([total.tobytes()])})
 
     with common.small_batches(nodes.sparkSession):
-        got = nodes.select("s").mapInArrow(run, "at bigint, v binary").groupBy("at").applyInArrow(add, "at bigint, v binary").collect()
+        got = nodes.select("s").mapInArrow(common.freeing(run), "at bigint, v binary").groupBy("at").applyInArrow(add, "at bigint, v binary").collect()
     out = np.zeros(1 << TABLE, np.int64)
     for r in got:
         out[r["at"] : r["at"] + cut] = np.frombuffer(r["v"], np.int64)
@@ -105,7 +105,7 @@ def keys(nodes: DataFrame, similarity: float) -> DataFrame:
                 size.append(np.full(len(first), n))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], ["key", "node", "n"])
 
-    every = nodes.mapInArrow(run, "key bigint, node bigint, n bigint")
+    every = nodes.mapInArrow(common.freeing(run), "key bigint, node bigint, n bigint")
     of = Window.partitionBy("key")
     ranked = every.withColumn("c", F.count("*").over(of)).where("c > 1").withColumn("rank", F.row_number().over(of.orderBy("n", "node")) - 1)
     with common.small_batches(nodes.sparkSession):
@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = common.semi_by(nodes, used, ["node"])  # only these sets are shuffled
     wide = pairs.join(nodes.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return wide.select("a", "b", "x", "y").mapInArrow(common.freeing(run), "a bigint, b bigint")
 
 
 def components(nodes: DataFrame, similarity: float, links: DataFrame) -> DataFrame:

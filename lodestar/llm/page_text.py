@@ -235,7 +235,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("key"), pa.array([x for x, _ in got], pa.list_(pa.string())), pa.array([p for _, p in got], pa.list_(pa.int8()))], ["page_id", "url", "key", "lines", "place"])
 
     keyed = pages.select("page_id", "url", key, "html")
-    parsed = keyed.mapInArrow(parse, f"page_id {kind}, url string, key {keyed.schema['key'].dataType.simpleString()}, lines array<string>, place array<tinyint>")
+    parsed = keyed.mapInArrow(common.freeing(parse), f"page_id {kind}, url string, key {keyed.schema['key'].dataType.simpleString()}, lines array<string>, place array<tinyint>")
     runs = common.ordered_blocks(pages.select(key), parsed, "key", 8 * common.partitions(spark), before=True)
 
     def difference(batches):
@@ -277,7 +277,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         i, u, t = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(i, schema.field("page_id").type), pa.array(u, pa.string()), pa.array(t, pa.string()), pa.array(np.array([len(x) for x in t], np.int64))], ["page_id", "url", "text", "n_chars"])
 
-    return runs.mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars bigint")
+    return runs.mapInArrow(common.freeing(difference), f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

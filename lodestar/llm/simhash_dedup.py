@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([simhash(t, shingle) for t in common.lowered(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(common.freeing(run), f"doc_id {kind}, fp bigint")
 
 
 def own_keys(fp: np.ndarray, t: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def probes(nodes: DataFrame, crowded: set[int] | None = None) -> DataFrame:
                     for k, f in ((key[~deep] << np.uint64(32), fp[mask][~deep]), *((k, fp[mask][deep]) for k in cut(t, key[deep], fp[mask][deep]) if deep.any())):
                         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), flip >= 0)), pa.array(f.view(np.int64))], ["key", "probe", "fp"])
 
-    return nodes.mapInArrow(run, "key bigint, probe boolean, fp bigint")
+    return nodes.mapInArrow(common.freeing(run), "key bigint, probe boolean, fp bigint")
 
 
 def crowded_keys(nodes: DataFrame, most: int) -> set[int]:
@@ -111,7 +111,7 @@ def crowded_keys(nodes: DataFrame, most: int) -> set[int]:
             fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own_keys(fp, t) for t in range(len(SEGMENTS))]).astype(np.int64))], ["key"])
 
-    full = [r["key"] for r in nodes.select("fp").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key").collect()]
+    full = [r["key"] for r in nodes.select("fp").mapInArrow(common.freeing(run), "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key").collect()]
     return {k ^ flip for k in full for flip in (0, *(1 << i for i in range(SEGMENTS[k >> 24][1])))}
 
 
@@ -181,7 +181,7 @@ def links(nodes: DataFrame, most: int = CROWDED) -> DataFrame:
             yield flush(pa.Table.from_batches(held))
 
     spark = nodes.sparkSession
-    return probes(nodes, crowded).repartition(common.partitions(spark), "key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint")
+    return probes(nodes, crowded).repartition(common.partitions(spark), "key").sortWithinPartitions("key", "probe").mapInArrow(common.freeing(run), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, shingle: int = 4, most: int = CROWDED) -> DataFrame:

@@ -193,7 +193,7 @@ def compared(docs: DataFrame) -> DataFrame:
             closed(held, opened(None, first, -1))
             yield batch()
 
-    return runs.mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_start_next bigint")
+    return runs.mapInArrow(common.freeing(run), f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_start_next bigint")
 
 
 def op2_span_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
