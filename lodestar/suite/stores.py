@@ -130,7 +130,7 @@ def store_retention_cascade(spark, d):
 def catalog_keywords(spark, d):
     p = t.table(spark, d, "part", "p_partkey", "p_name", "p_type").withColumn("id", F.col("p_partkey"))
     # each word is looked for in the field where the catalogue has it
-    body = F.concat_ws(" ", F.regexp_replace(F.lower("p_name"), "medium", ""), F.when(F.contains(F.lower("p_type"), F.lit("steel")), "steel"))
+    body = F.concat_ws(" ", F.regexp_replace(F.lower("p_name"), "medium", ""), F.when(F.contains(F.lower("p_type"), F.lit("medium")), "medium"))
     return knowledge.catalog_search(p, ["re", "MEDIUM", "blue"], body, 20).select("p_partkey", "score")
 
 
