@@ -7,7 +7,7 @@ Two rows are linked where the Jaccard similarity of their sets of word shingles
 put in one order, rarer first (by a table of counts; any order is right, a good one keeps keys small). Two sets of
 similarity t share one of the first n - ceil(t n) + 1 shingles of each, so only rows that share such a key are compared.
 
-Rows of a key are ranked by (size, node). A round compares the next ranks of each key, four times as many as the one
+Rows of a key are ranked by (size, node). A round compares the next ranks of each key, eight times as many as the one
 before, with all ranks behind them, and leaves out pairs that are in one component already. Keys whose rows are all in
 one component are dropped before each round, so that a key full of copies, which hashing has joined, costs nothing.
 
@@ -29,7 +29,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 TABLE = 20  # bits of the table of counts
-FIRST = 4  # ranks of each key that the first round compares; every round compares four times as many
+FIRST = 16  # ranks of each key that the first round compares; every round compares eight times as many
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -167,6 +167,6 @@ def components(nodes: DataFrame, similarity: float, links: DataFrame) -> DataFra
             old, roots = roots, common.stored(common.components(star.unionByName(new)), "near-roots")
             common.dropped(old)
         common.dropped(new)
-        lo, hi = hi, hi + 4 * (hi - lo)
+        lo, hi = hi, hi + 8 * (hi - lo)
     common.dropped(key)
     return roots
