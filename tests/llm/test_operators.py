@@ -310,3 +310,11 @@ def test_ordered_blocks(spark):
     for b in {r["block"] for r in own}:
         ids = [r["id"] for r in own if r["block"] == b]
         assert b == last or [r["id"] for r in runs if r["block"] == b and r["copy"] == 1] == [max(ids) + 7]
+
+
+def test_components_of_chains_hubs_and_rings(spark):
+    links = [(i, i + 1) for i in range(10, 30)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (200, 201), (300, 300)]
+    found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    wanted = {i: 10 for i in range(10, 31)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in range(200, 203)}
+    assert found == wanted
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
