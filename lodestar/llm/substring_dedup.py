@@ -7,36 +7,38 @@ which is a few words longer than the windows that begin in it. Equal windows hav
 key, and of many keys, can be searched by themselves: a shard's index never has to see other text, and the work grows
 with the text and not with its square.
 
-1. A scan sends each document's keys; a sum by key leaves those of more than one document. They fill a Bloom filter of
-   at most FILTER_BYTES, which is broadcast. Were it too small, more segments than need be would be searched,
-   with the same result.
-2. A scan sends the segments whose keys pass; equal ones are merged before and after the shuffle, with the least
-   doc_id of each. They are dealt to shards of about SHARD_WORDS words.
-3. A shard indexes its segments: words become numbers, suffixes are sorted, and the Burrows-Wheeler transform is kept in a
-   Huffman-shaped wavelet tree of packed bits with counts every 64 bits. All segments stream through it, backwards
-   from the end of each window: the matching statistic of a place is how many words back a match goes that is found in more
-   than one place. Where it reaches WINDOW, the least doc_id of the matches is compared with the segment's own.
-4. Segments found again in a scan get their windows' marks by their digest, and each document the places to remove.
+1. A scan sends each task's different keys; a sum by key leaves those of more than one document. They fill a Bloom filter
+   of at most FILTER_BYTES, which is broadcast. Were it too small, more segments than need be would be searched, with
+   the same result.
+2. A scan sends the segments whose keys pass, equal ones of a run of documents as one, with the least doc_id. They are
+   dealt to shards of about SHARD_WORDS words.
+3. A shard indexes its segments (those of a key that has more than one): words become numbers, suffixes are sorted, and the
+   Burrows-Wheeler transform is kept in a Huffman-shaped wavelet tree of packed bits with counts every 64 bits. All its
+   segments stream through it, backwards from the end of each window: the matching statistic of a place is how many
+   words back a match goes that is found in more than one place. Where it reaches WINDOW, the least doc_id of the matches is
+   compared with the segment's own.
+4. A third scan finds the places of segments that are equal to others or have such windows (by a filter again, then a join),
+   and each document's places meet its text.
 
 A key with over CROWDED different segments (a frequent phrase between other words) would make one large index. Its segments
-are cut into single windows, which meet by their digests in a sum, exactly; marks go back to the segments they come from.
+are cut into single windows, which are dealt by their own hashes: equal ones meet as equal segments do, and need no
+index. Which keys these are is also told by a filter; a key that it takes for crowded is found just as well.
 
 Defined results: null text has no words; texts of any length are read whole; a null doc_id is smaller than any other,
 and rows of one doc_id (or of none) are no copies of each other; texts of fewer than WINDOW words lose nothing; an empty table
-gives an empty result; other columns, whatever their names, are ignored. Segments and windows meet
-by 128-bit BLAKE2 digests of their words; inside an index words are compared themselves.
+gives an empty result; other columns, whatever their names, are ignored. doc_id is read as a long. Segments meet by two
+64-bit polynomial hashes over two hashes of their words; inside an index words are compared themselves.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,19 +49,10 @@ FILTER_BYTES = 32 << 20
 FILTER_BITS = 16  # of the filter a key, while there is room
 SHARD_WORDS = 150_000
 CROWDED = 1_000
-BEFORE_ALL = -(1 << 63) - 1  # what a null doc_id counts as
+CHUNK_WORDS = 200_000  # that a task works on at once; a longer text is a chunk of its own
 _RUN = WINDOW - GRAM + 1  # windows that may share one place of their key
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hashes(dict):
-    """Words' hashes, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return h
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,72 +61,153 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, key) of each segment of a text whose words have the hashes h."""
-    n = len(h) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = np.zeros(len(h) - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        grams = grams * _ODD + h[j : j + len(grams)]
-    grams = mixed(grams)
-    least = grams[:n].copy()
-    for j in range(1, _RUN):
-        np.minimum(least, grams[j : j + n], out=least)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    size = np.diff(first, append=n)
-    if size.max() > _RUN:  # a text that repeats itself
-        parts = -(-size // _RUN)
-        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = np.minimum(np.repeat(size, parts) - inner * _RUN, _RUN)
-        first = np.repeat(first, parts) + inner * _RUN
-    return first, size, mixed(least[first] * _ODD)  # spread again, as the least of some hashes is small
-
-
-def batches_of(run):
-    """A function of batches for mapInArrow: run gets each row's id column value, row number, words and segments."""
+class Words:
+    """Numbers and two hashes of words, kept while they are few, and the powers that prefix hashes need."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.hashes = [np.zeros(1 << 16, np.uint64) for _ in _BASES]
+        self.powers = [np.ones(1, np.uint64) for _ in _BASES]
+        self.inverse = [np.ones(1, np.uint64) for _ in _BASES]
+
+    def numbers(self, texts: list[list[bytes]], total: int) -> np.ndarray:
+        if len(self.number) > 400_000:
+            self.number.clear()
+        known, new = self.number, len(self.number)
+        at = np.fromiter((known.setdefault(w, len(known)) for t in texts for w in t), np.int64, total)
+        if len(known) > len(self.hashes[0]):
+            self.hashes = [np.concatenate((h, np.zeros(2 * len(known) - len(h), np.uint64))) for h in self.hashes]
+        if len(known) > new:
+            words = list(known)[new:]  # in the order of their numbers
+            for k, h in enumerate(self.hashes):
+                h[new : len(known)] = np.fromiter((xxhash.xxh64_intdigest(w, 11 + k) for w in words), np.uint64, len(words))
+        return at
+
+    def upto(self, n: int) -> None:
+        while len(self.powers[0]) <= n:
+            for k, b in enumerate(_BASES):
+                for row, base in ((self.powers, b), (self.inverse, pow(b, -1, 1 << 64))):
+                    row[k] = np.concatenate((row[k], row[k] * np.uint64(pow(base, len(row[k]), 1 << 64))))
+
+
+class Chunk:
+    """The segments of some texts: doc (of texts), start (in the chunk's words), windows, key, and the hashes of spans."""
+
+    def __init__(self, known: Words, texts: list[list[bytes]]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.texts, self.first = texts, np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        at = known.numbers(texts, total)
+        known.upto(total)
+        self.known, h = known, [row[at] for row in known.hashes]
+        self.prefix = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * p[: len(x)], dtype=np.uint64))) for x, p in zip(h, known.powers, strict=True)]
+        windows = np.maximum(sizes - WINDOW + 1, 0)
+        of = np.repeat(np.arange(len(texts)), windows)
+        place = np.arange(len(of)) + np.repeat(self.first - (np.cumsum(windows) - windows), windows)
+        grams = np.zeros(max(0, total - GRAM + 1), np.uint64)
+        for j in range(GRAM):
+            grams = grams * _ODD + h[0][j : j + len(grams)]
+        grams = mixed(grams)
+        least = grams[place] if len(place) else np.zeros(0, np.uint64)
+        for j in range(1, _RUN):
+            np.minimum(least, grams[place + j], out=least)
+        fresh = np.ones(len(of), bool)
+        fresh[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
+        run = np.flatnonzero(fresh)
+        size = np.diff(run, append=len(of))
+        parts = -(-size // _RUN)  # more than one only where a text repeats itself
+        inner = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        run = np.repeat(run, parts) + inner * _RUN
+        self.size = np.minimum(np.repeat(size, parts) - inner * _RUN, _RUN)
+        self.doc, self.start = of[run], place[run]
+        self.key = mixed(least[run] * _ODD)  # spread again, as the least of some hashes is small
+
+    def spans(self, start: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+        """The two hashes of spans of the chunk's words."""
+        return [mixed((p[start + words] - p[start]) * i[start] + words.astype(np.uint64)) for p, i in zip(self.prefix, self.known.inverse, strict=True)]
+
+    def singles(self, crowd: np.ndarray) -> None:
+        """Cuts the segments whose keys the filter takes for crowded into their windows; `single` says which they are."""
+        self.single = passing(crowd, self.key)
+        n = np.where(self.single, self.size, 1)
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.start = np.repeat(self.start, n) + inner
+        self.size = np.where(np.repeat(self.single, n), 1, np.repeat(self.size, n))
+        self.doc, self.key, self.single = (np.repeat(x, n) for x in (self.doc, self.key, self.single))
+
+    def only(self, some: np.ndarray) -> None:
+        for name in ("doc", "start", "size", "key"):
+            setattr(self, name, getattr(self, name)[some])
+        if hasattr(self, "single"):
+            self.single = self.single[some]
+
+
+def scanned(run):
+    """A function for mapInArrow over (row, id, text): run(chunk, ids, rows) is called for each chunk of a batch's documents."""
 
     def wrapped(batches):
-        known = Hashes()
+        known = Words()
         for b in batches:
-            out: list[tuple] = []
-            kind = b.column("id").type
+            ids, rows = b.column("id"), b.column("row").to_numpy()
+            held: list[list[bytes]] = []
+            n = begun = 0
             for at, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 words = (text or b"").split()  # ASCII white space alone, the same as the pattern's
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                run(out, b, at, words, *segments(h))
-            yield out, kind
+                if held and n + len(words) > CHUNK_WORDS:
+                    yield run(Chunk(known, held), ids.slice(begun, at - begun), rows[begun:at])
+                    held, n, begun = [], 0, at
+                held.append(words)
+                n += len(words)
+            if held:
+                yield run(Chunk(known, held), ids.slice(begun, len(held)), rows[begun : begun + len(held)])
 
-    return wrapped
+    return common.freeing(wrapped)
 
 
-def _ids(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(BEFORE_ALL)).cast("decimal(20,0)"))
+def order_of(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each id, position of an id of each rank); null is first."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    _, first, rank = np.unique(np.rec.fromarrays([known, value]), return_index=True, return_inverse=True) if len(value) else ((), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return rank.reshape(-1), first
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The keys that stand in documents of more than one doc_id."""
-    kind = rows.schema["id"].dataType.simpleString()
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows sorted by the keys, and where each group of equal ones begins."""
+    order = np.lexsort(keys[::-1])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(fresh)
 
-    def one(out, b, at, words, first, size, key):
-        some = np.unique(key).view(np.int64)
-        out.append((b.column("id").slice(at, 1), some))
 
-    def run(batches):
-        for out, k in batches_of(one)(batches):
-            keys = [x for _, x in out]
-            counts = [len(x) for x in keys]
-            ids = pa.chunked_array([i for i, _ in out], k).combine_chunks().take(pa.array(np.repeat(np.arange(len(out)), counts))) if out else pa.array([], k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), ids], ["key", "id"])
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-    found = rows.mapInArrow(common.freeing(run), f"key bigint, id {kind}")
-    # nulls are below all others
-    both = found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(F.col("id").isNull()).alias("none"))
-    return both.where((F.col("a") < F.col("z")) | (F.col("none") & F.col("a").isNotNull())).select("key")
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, n) of the keys in documents of more than one doc_id; n is at least the number of their different segments."""
+
+    def run(chunk: Chunk, ids: pa.Array, _) -> pa.RecordBatch:
+        rank, of = order_of(ids)
+        seg = chunk.spans(chunk.start, chunk.size + WINDOW - 1)[0]
+        order, first = groups(chunk.key, seg)
+        key, n = chunk.key[order], np.zeros(len(order), np.int64)
+        n[first] = 1
+        by, starts = key, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        ranks = rank[chunk.doc[order]]
+        low, high, count = (f.reduceat(x, starts) if len(starts) else np.zeros(0, np.int64) for f, x in ((np.minimum, ranks), (np.maximum, ranks), (np.add, n)))
+        more = np.flatnonzero(high > low)
+        keys, at, count = np.concatenate((by[starts], by[starts][more])), np.concatenate((low, high[more])), np.concatenate((count, np.zeros(len(more), np.int64)))
+        way = np.argsort(at, kind="stable")  # equal ids side by side shuffle in fewer bytes
+        return pa.RecordBatch.from_arrays([signed(keys[way]), ids.take(pa.array(of[at[way]])), pa.array(count[way].astype(np.int32))], ["key", "id", "n"])
+
+    found = rows.mapInArrow(scanned(run), "key bigint, id bigint, n int").repartition(common.partitions(rows.sparkSession), "key")
+    both = found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max(F.col("id").isNull()).alias("none"), F.sum("n").alias("n"))
+    return both.where((F.col("a") < F.col("z")) | (F.col("none") & F.col("a").isNotNull())).select("key", "n")
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys, two bits a key, made in pieces by the tasks; FILTER_BYTES at most on the driver."""
+    """A Bloom filter of keys(key), two bits a key, made in pieces by the tasks; FILTER_BYTES at most on the driver."""
     n = keys.count()
     bits = min(max(10, math.ceil(math.log2(FILTER_BITS * max(n, 1)))), int(math.log2(8 * FILTER_BYTES)))
     pieces = min(64, 1 << (bits - 10))
@@ -147,10 +221,10 @@ def filter_of(keys: DataFrame) -> np.ndarray:
         return pa.table([pa.array([int(at[0]) >> shift]), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
 
     first = F.shiftrightunsigned("key", 64 - bits)
-    second = F.shiftrightunsigned("key", 64 - 2 * bits) if 2 * bits <= 64 else F.col("key")
-    both = keys.select(F.explode(F.array(first, second.bitwiseAND((1 << bits) - 1))).alias("at")).distinct()
+    second = F.shiftrightunsigned("key", 64 - 2 * bits).bitwiseAND((1 << bits) - 1)
+    both = keys.select(F.explode(F.array(first, second)).alias("at")).distinct()
     got = both.groupBy(F.shiftright("at", shift).alias("p")).applyInArrow(build, "piece bigint, bits binary").collect()
-    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for r in got:
         out[r["piece"] * inside // 8 : (r["piece"] + 1) * inside // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -158,52 +232,51 @@ def filter_of(keys: DataFrame) -> np.ndarray:
 
 def passing(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
     bits = int(math.log2(8 * len(marks)))
-    mask = np.uint64((1 << bits) - 1)
-    first = key >> np.uint64(64 - bits)
-    second = (key >> np.uint64(64 - 2 * bits) if 2 * bits <= 64 else key) & mask
+    first, second = key >> np.uint64(64 - bits), (key >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1)
     hit = lambda at: (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
     return (hit(first) & hit(second)).astype(bool)
 
 
-def digest(words: list[bytes]) -> bytes:
-    return blake2b(b" ".join(words), digest_size=16).digest()
-
-
-def different(rows: DataFrame, shared) -> DataFrame:
-    """(seg, key, words, id): the different segments that pass the filter, with their least doc_id."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def one(out, b, at, words, first, size, key):
-        for i in np.flatnonzero(passing(shared.value, key)).tolist():
-            text = b" ".join(words[first[i] : first[i] + size[i] + WINDOW - 1])
-            out.append((blake2b(text, digest_size=16).digest(), int(key[i].view(np.int64)), text, b.column("id")[at]))
-
-    def run(batches):
-        for out, k in batches_of(one)(batches):
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array([x.as_py() for x in cols[3]], k)], ["seg", "key", "words", "id"])
-
-    found = rows.mapInArrow(common.freeing(run), f"seg binary, key bigint, words binary, id {kind}")
-    return found.withColumn("id", _ids(found)).groupBy("seg", "key", "words").agg(F.min("id").alias("id"))
-
-
-def places(rows: DataFrame, shared) -> DataFrame:
-    """(row, seg, at, size, id): where the segments that pass the filter stand."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def one(out, b, at, words, first, size, key):
-        for i in np.flatnonzero(passing(shared.value, key)).tolist():
-            a, n = int(first[i]), int(size[i])
-            out.append((b.column("row")[at], digest(words[a : a + n + WINDOW - 1]), a, n, b.column("id")[at]))
-
-    def run(batches):
-        for out, k in batches_of(one)(batches):
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            arrays = [pa.array([x.as_py() for x in cols[0]], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array([x.as_py() for x in cols[4]], k)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "seg", "at", "size", "id"])
-
-    found = rows.mapInArrow(common.freeing(run), f"row bigint, seg binary, at int, size int, id {kind}")
-    return found.withColumn("id", _ids(found))
+def dealt(rows: DataFrame, filters, shards: int) -> DataFrame:
+    """(shard, key, seg, seg2, words, id, n): of each chunk the different segments that pass, with their least id and how often
+    they stand there. Windows of crowded keys have no words."""
+
+    def run(chunk: Chunk, ids: pa.Array, _) -> pa.RecordBatch:
+        shared, crowd = filters.value
+        chunk.only(passing(shared, chunk.key))
+        chunk.singles(crowd)
+        rank, of = order_of(ids)
+        seg, seg2 = chunk.spans(chunk.start, chunk.size + WINDOW - 1)
+        order, first = groups(chunk.key, seg, seg2)
+        low = np.minimum.reduceat(rank[chunk.doc[order]], first) if len(first) else np.zeros(0, np.int64)
+        n, one = np.diff(first, append=len(order)), order[first]
+        flat = [b" ".join(t) for t in chunk.texts]  # words are cut out of it by their places
+        ends = [np.cumsum(np.fromiter((len(w) + 1 for w in t), np.int64, len(t))) for t in chunk.texts]
+        doc, a = chunk.doc[one], chunk.start[one] - chunk.first[chunk.doc[one]]
+        z = a + chunk.size[one] + WINDOW - 1
+        words = [None if s else flat[d][int(ends[d][i - 1]) if i else 0 : int(ends[d][j - 1]) - 1] for d, i, j, s in zip(doc.tolist(), a.tolist(), z.tolist(), chunk.single[one].tolist(), strict=True)]
+        shard = (np.where(chunk.single[one], seg[one], chunk.key[one]) % np.uint64(shards)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard), signed(chunk.key[one]), signed(seg[one]), signed(seg2[one]), pa.array(words, pa.binary()), ids.take(pa.array(of[low])), pa.array(n)], ["shard", "key", "seg", "seg2", "words", "id", "n"]
+        )
+
+    return rows.mapInArrow(scanned(run), "shard bigint, key bigint, seg bigint, seg2 bigint, words binary, id bigint, n bigint")
+
+
+def places(rows: DataFrame, filters) -> DataFrame:
+    """(row, at, size, id, seg, seg2): where segments stand that the third filter has."""
+
+    def run(chunk: Chunk, ids: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
+        shared, crowd, wanted = filters.value
+        chunk.only(passing(shared, chunk.key))
+        chunk.singles(crowd)
+        seg, seg2 = chunk.spans(chunk.start, chunk.size + WINDOW - 1)
+        some = passing(wanted, seg)
+        chunk.only(some)
+        at = (chunk.start - chunk.first[chunk.doc]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(numbers[chunk.doc]), pa.array(at), pa.array(chunk.size.astype(np.int32)), ids.take(pa.array(chunk.doc)), signed(seg[some]), signed(seg2[some])], ["row", "at", "size", "id", "seg", "seg2"])
+
+    return rows.mapInArrow(scanned(run), "row bigint, at int, size int, id bigint, seg bigint, seg2 bigint")
 
 
 class Bits:
@@ -253,13 +326,24 @@ class WaveletTree:
             self.code[s] = code
             code += 1
         self.levels = []
+        size, code = self.size[row], self.code[row]
+        node = np.zeros(len(row), np.int64)  # ascending on every level
         for level in range(int(self.size.max())):
-            row = row[self.size[row] > level]
-            node = self.code[row] >> (self.size[row] - level)
-            row = row[np.argsort(node, kind="stable")]
-            bits = Bits((self.code[row] >> (self.size[row] - level - 1)) & 1)
-            names, starts = np.unique(np.sort(node), return_index=True)
-            self.levels.append((bits, names, starts, bits.ones(starts)))
+            bit = (code >> (size - level - 1)) & 1
+            bits = Bits(bit)
+            starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            self.levels.append((bits, node[starts], starts, bits.ones(starts)))
+            # each node's zeros go before its ones, in their order; then symbols whose code is over leave
+            of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(node)))
+            ones = np.cumsum(bit) - bit
+            before = ones - ones[starts][of]
+            zeros = np.add.reduceat(1 - bit, starts)
+            to = starts[of] + np.where(bit == 1, zeros[of] + before, np.arange(len(node)) - starts[of] - before)
+            way = np.empty(len(node), np.int64)
+            way[to] = np.arange(len(node))
+            way = way[size[way] > level + 1]
+            size, code = size[way], code[way]
+            node = code >> (size - level - 1)
 
     def before(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
@@ -281,12 +365,16 @@ class Index:
 
     def __init__(self, text: np.ndarray, longest: int):
         rank, done = text.astype(np.int64), 1
-        while done < longest:
+        while True:
             ahead = np.concatenate((rank[done:], np.full(min(done, len(rank)), -1)))[: len(rank)]
-            pair = rank * (rank.max() + 2) + ahead + 1
-            rank = np.unique(pair, return_inverse=True)[1]
+            pair = rank * (int(rank.max()) + 2) + ahead + 1
+            self.suffix = np.argsort(pair, kind="stable")
             done *= 2
-        self.suffix = np.argsort(rank, kind="stable")
+            if done >= longest:
+                break
+            ordered = pair[self.suffix]
+            rank = np.empty(len(pair), np.int64)
+            rank[self.suffix] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
         counts = np.bincount(text)
         self.start = np.concatenate(([0], np.cumsum(counts)))
         self.tree = WaveletTree(text[self.suffix - 1], counts)  # the symbol before each suffix; before the first, the 0 at the end
@@ -300,8 +388,9 @@ class Index:
         for k in range(1, longest + 1):
             if k > 1:
                 c = text[ends[left] - k + 1]
-                lo[left] = self.start[c] + self.tree.before(c, lo[left])
-                hi[left] = self.start[c] + self.tree.before(c, hi[left])
+                both = self.tree.before(np.concatenate((c, c)), np.concatenate((lo[left], hi[left])))
+                lo[left] = self.start[c] + both[: len(left)]
+                hi[left] = self.start[c] + both[len(left) :]
             left = left[hi[left] - lo[left] > 1]
             reach[left] = k
             if not len(left):
@@ -309,75 +398,59 @@ class Index:
         return reach, lo, hi
 
 
+def window_marks(texts: list[list[bytes]], own: np.ndarray) -> np.ndarray:
+    """For each of different segments a number whose bit i is set if the window i words in stands at a smaller id too."""
+    names: dict[bytes, int] = {}
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.zeros(int((sizes + 1).sum()), np.int64)  # 0 ends a segment
+    first = np.cumsum(sizes + 1) - sizes - 1
+    at = np.arange(len(text)) - np.repeat(first, sizes + 1)
+    text[at < np.repeat(sizes, sizes + 1)] = np.fromiter((names.setdefault(w, len(names) + 1) for t in texts for w in t), np.int64, int(sizes.sum()))
+    index = Index(text, WINDOW)
+    n = sizes - WINDOW + 1
+    of = np.repeat(np.arange(len(sizes)), n)  # the segment of each window
+    window = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    reach, lo, hi = index.statistics(text, first[of] + window + WINDOW - 1, WINDOW)
+    full = np.flatnonzero(reach == WINDOW)
+    marks = np.zeros(len(sizes), np.int64)
+    if len(full):
+        by_suffix = np.append(np.repeat(own, sizes + 1)[index.suffix], np.iinfo(np.int64).max)
+        least = np.minimum.reduceat(by_suffix, np.column_stack((lo[full], hi[full])).ravel())[::2]
+        gone = full[least < own[of[full]]]
+        np.bitwise_or.at(marks, of[gone], 1 << window[gone])
+    return marks
+
+
 def searched(shards: DataFrame) -> DataFrame:
-    """(seg, marks) of shards(shard, seg, words, id): bit i is set if the window i words in stands at a smaller id."""
+    """(seg, seg2, least, marks) of the segments that stand in more than one place or have a window at a smaller id."""
 
     def one(table: pa.Table) -> pa.Table:
         with common.returned():
-            texts = [w.split(b" ") for w in table.column("words").to_pylist()]
-            ids = table.column("id").to_pylist()
-            rank = {v: i for i, v in enumerate(sorted(set(ids)))}
-            own = np.array([rank[v] for v in ids], np.int64)
-            names: dict[bytes, int] = {}
-            sizes = np.array([len(t) for t in texts], np.int64)
-            text = np.zeros(int((sizes + 1).sum()), np.int64)  # 0 ends a segment
-            first = np.cumsum(sizes + 1) - sizes - 1
-            at = np.arange(len(text)) - np.repeat(first, sizes + 1)
-            text[at < np.repeat(sizes, sizes + 1)] = [names.setdefault(w, len(names) + 1) for t in texts for w in t]
-            del texts
-            index = Index(text, WINDOW)
-            of = np.repeat(np.arange(len(sizes)), sizes - WINDOW + 1)  # the segment of each window
-            window = np.arange(len(of)) - np.repeat(np.cumsum(sizes - WINDOW + 1) - (sizes - WINDOW + 1), sizes - WINDOW + 1)
-            reach, lo, hi = index.statistics(text, first[of] + window + WINDOW - 1, WINDOW)
-            full = np.flatnonzero(reach == WINDOW)
-            marks = np.zeros(len(sizes), np.int64)
-            if len(full):
-                least = np.minimum.reduceat(np.append(np.repeat(own, sizes + 1)[index.suffix], np.iinfo(np.int64).max), np.column_stack((lo[full], hi[full])).ravel())[::2]
-                gone = full[least < own[of[full]]]
-                np.bitwise_or.at(marks, of[gone], 1 << window[gone])
-            some = np.flatnonzero(marks)
-            return pa.table([table.column("seg").take(pa.array(some)), pa.array(marks[some])], names=["seg", "marks"])
-
-    return shards.groupBy("shard").applyInArrow(one, "seg binary, marks bigint")
-
-
-def single_windows(crowded: DataFrame, stored) -> DataFrame:
-    """(seg, marks) of crowded(seg, words, id), by the digests of the windows."""
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for seg, text, i in zip(b.column("seg"), b.column("words").to_pylist(), b.column("id"), strict=True):
-                words = text.split(b" ")
-                out += [(seg.as_py(), at, digest(words[at : at + WINDOW]), i.as_py()) for at in range(len(words) - WINDOW + 1)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], b.column("id").type)], ["seg", "at", "window", "id"])
-
-    windows = stored(crowded.select("seg", "words", "id").mapInArrow(common.freeing(cut), "seg binary, at int, window binary, id decimal(20,0)"), "windows")
-    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = common.spread_join(windows, stored(least, "least"), ["window"], "n").where("least < id")
-    return met.groupBy("seg").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("marks"))
-
-
-def marked(found: DataFrame, stored) -> DataFrame:
-    """(seg, marks, id) of the different segments found(seg, key, words, id): every one, marks 0 where nothing matches.
-
-    stored(df, name) writes a table that the caller deletes.
-    """
-    per = found.groupBy("key").agg(F.count("*").alias("n"))
-    crowd = stored(per.where(F.col("n") > CROWDED).select("key"), "crowded")
-    n_words = found.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(n_words / 6 / SHARD_WORDS))
-    rest = common.semi_by(found, crowd, ["key"], "left_anti")
-    by_index = searched(rest.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "seg", "words", "id"))
-    by_window = single_windows(common.semi_by(found, crowd, ["key"]), stored)
-    marks = by_index.union(by_window)
-    return found.select("seg", "id").join(marks, "seg", "left").select("seg", "id", F.coalesce("marks", F.lit(0)).alias("marks"))
+            table = table.combine_chunks()
+            key, seg, seg2, n = (table.column(c).to_numpy() for c in ("key", "seg", "seg2", "n"))
+            ids = table.column("id").combine_chunks()
+            rank, at = order_of(ids)
+            order, first = groups(key, seg, seg2)
+            own, times, rows = np.minimum.reduceat(rank[order], first), np.add.reduceat(n[order], first), order[first]
+            same = key[rows]
+            alone = np.ones(len(rows), bool)  # a key with one segment: nothing else can match it
+            alone[1:] &= same[1:] != same[:-1]
+            alone[:-1] &= same[1:] != same[:-1]
+            words = table.column("words").take(pa.array(rows))
+            index = np.flatnonzero(~alone & words.is_valid().to_numpy())
+            marks = np.zeros(len(rows), np.int64)
+            if len(index):
+                marks[index] = window_marks([w.split(b" ") for w in words.take(pa.array(index)).to_pylist()], own[index])
+            some = np.flatnonzero((times > 1) | (marks != 0))
+            return pa.table([pa.array(seg[rows[some]]), pa.array(seg2[rows[some]]), ids.take(pa.array(at[own[some]])), pa.array(marks[some])], names=["seg", "seg2", "least", "marks"])
+
+    return shards.groupBy("shard").applyInArrow(one, "seg bigint, seg2 bigint, least bigint, marks bigint")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(row, cuts) for the rows of rows(doc, row) that lose words: cuts are the starts of windows, as (at, bits)."""
-    rows = rows.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
+    """(row, cuts) for the rows of rows(doc, row) that lose words: a number for each place, its start and the bits of its windows."""
+    spark = rows.sparkSession
+    rows = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").alias("text"))
     held = []
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -385,28 +458,30 @@ def removals(rows: DataFrame) -> DataFrame:
         return held[-1]
 
     try:
-        shared = rows.sparkSession.sparkContext.broadcast(filter_of(stored(shared_keys(rows), "keys")))
-        found = stored(different(rows, shared), "segments")
-        stands = stored(places(rows, shared), "places")
-        times = stands.groupBy("seg").agg(F.count("*").alias("n"))
-        judged = stored(marked(found, stored).withColumnRenamed("id", "least").join(times, "seg"), "marks")
-        met = common.spread_join(stands, judged, ["seg"], "n")
-        bits = F.when(F.col("id") > F.col("least"), F.expr("shiftleft(1L, size) - 1")).otherwise(F.col("marks"))
-        gone = met.select("row", "at", bits.alias("bits")).where("bits <> 0")
-        return common.stored(gone.groupBy("row").agg(F.collect_list(F.struct("at", "bits")).alias("cuts")), "cuts")  # one document's own
+        keys = stored(shared_keys(rows), "keys")
+        size = keys.agg(F.sum(F.least("n", F.lit(CROWDED))).alias("n")).first()["n"] or 0  # a segment has WINDOW words and some more
+        shared, crowd = filter_of(keys), filter_of(keys.where(F.col("n") > CROWDED))
+        two = spark.sparkContext.broadcast((shared, crowd))
+        judged = stored(searched(dealt(rows, two, max(1, math.ceil(size * (WINDOW + 4) / SHARD_WORDS)))), "marks")
+        three = spark.sparkContext.broadcast((shared, crowd, filter_of(judged.select(F.col("seg").alias("key")))))
+        met = places(rows, three).join(judged.hint("merge"), ["seg", "seg2"])  # a segment in very many places: a skewed join, which Spark splits
+        later = F.col("id").isNotNull() & (F.col("least").isNull() | (F.col("id") > F.col("least")))
+        bits = F.when(later, F.expr("shiftleft(1L, size) - 1")).otherwise(F.col("marks"))
+        cut = F.shiftleft(F.col("at").cast("long"), _RUN).bitwiseOR(bits)
+        gone = met.where(bits != 0).groupBy("row").agg(F.collect_list(cut).alias("cuts"))  # one document's own
+        return common.stored(gone, "cuts")
     finally:
         for table in held:
             common.dropped(table)
 
 
-def covered(n: int, cuts: list[dict] | None) -> np.ndarray:
+def covered(n: int, cuts: np.ndarray) -> np.ndarray:
     """Which of n words stand in a window that goes."""
     change = np.zeros(n + 1, np.int64)
-    for c in cuts or ():
-        for j in range(c["bits"].bit_length()):
-            if c["bits"] >> j & 1:
-                change[c["at"] + j] += 1
-                change[c["at"] + j + WINDOW] -= 1
+    for j in range(_RUN):
+        start = (cuts[(cuts >> j) & 1 == 1] >> _RUN) + j
+        np.add.at(change, start, 1)
+        np.add.at(change, start + WINDOW, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -414,24 +489,24 @@ def remaining(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with n_words, n_removed and the kept words joined by one space."""
     rows = common.numbered(docs.select("doc_id", "text"), "substring-rows")
     cuts = removals(rows)
-    size = cuts.agg(F.count("*").alias("n"), F.sum(F.size("cuts")).alias("c")).first()
-    few = size["n"] * 16 + (size["c"] or 0) * 20 <= 64 << 20
-    with_cuts = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")).join(F.broadcast(cuts) if few else cuts.hint("merge"), "row", "left")
+    both = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")).join(cuts.hint("merge"), "row", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             out = []
-            for text, c in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("cuts").to_pylist(), strict=True):
+            for text, c in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("cuts"), strict=True):
                 words = (text or b"").split()
-                gone = covered(len(words), c)
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if c else words
-                out.append((len(words), int(gone.sum()), b" ".join(kept)))
+                if c.is_valid:
+                    gone = covered(len(words), c.values.to_numpy())
+                    out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
+                else:
+                    out.append((len(words), 0, b" ".join(words)))
             cols = list(zip(*out, strict=True)) if out else [()] * 3
             kept = pa.array(cols[2], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_cuts.select("doc_id", "text", "cuts").mapInArrow(common.freeing(run), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return both.select("doc_id", "text", "cuts").mapInArrow(common.freeing(run), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

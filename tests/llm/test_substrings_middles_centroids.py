@@ -93,13 +93,23 @@ def test_index_counts_and_statistics():
                 assert e - 7 in index.suffix[a:z] and z - a == seen[tuple(text[e - 7 : e + 1])]
 
 
-def test_segments_hold_every_window_once():
-    rng = np.random.default_rng(4)
-    for n in (0, 12, 13, 14, 40, 500):
-        h = rng.integers(0, 30, n).astype(np.uint64)
-        first, size, key = substring_dedup.segments(h)
-        assert np.concatenate([np.arange(a, a + k) for a, k in zip(first, size, strict=True)] or [np.arange(0)]).tolist() == list(range(max(0, n - 12)))
-        assert len(size) == 0 or size.max() <= 9
+def test_chunks_hold_every_window_once():
+    rng = random.Random(4)
+    known = substring_dedup.Words()
+    for few in (2, 5, 5000):
+        texts = [[f"w{rng.randrange(few)}".encode() for _ in range(n)] for n in (0, 12, 13, 14, 40, 0, 500)]
+        chunk = substring_dedup.Chunk(known, texts)
+        seg = chunk.spans(chunk.start, chunk.size + 12)
+        assert len(chunk.size) == 0 or chunk.size.max() <= 9
+        windows, same = [], {}
+        for d, a, k, key, *h in zip(chunk.doc, chunk.start - chunk.first[chunk.doc], chunk.size, chunk.key, *seg, strict=True):
+            windows += [(d, x) for x in range(a, a + k)]
+            same.setdefault(tuple(texts[d][a : a + k + 12]), set()).add((key, *h))
+            for x in range(a, a + k):
+                same.setdefault(tuple(texts[d][x : x + 13]), set()).add(key) if k > 1 else None
+        assert windows == [(d, x) for d, t in enumerate(texts) for x in range(len(t) - 12)]
+        assert all(len({v if isinstance(v, np.uint64) else v[0] for v in s}) == 1 for s in same.values())
+        assert all(len({v for v in s if isinstance(v, tuple)}) <= 1 for s in same.values())
 
 
 def middle(i, text):
