@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +62,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class Numbers(dict):
+    """Numbers from `first` on, in the order in which words come up."""
+
+    def __init__(self, first: int = 0):
+        self.first = first
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + self.first
+        return n
+
+    def of(self, texts: list[list[bytes]], total: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, total)
+
+
 class Words:
     """Numbers and two hashes of words, kept while they are few, and the powers that prefix hashes need."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.hashes = [np.zeros(1 << 16, np.uint64) for _ in _BASES]
         self.powers = [np.ones(1, np.uint64) for _ in _BASES]
         self.inverse = [np.ones(1, np.uint64) for _ in _BASES]
@@ -74,7 +89,7 @@ class Words:
         if len(self.number) > 400_000:
             self.number.clear()
         known, new = self.number, len(self.number)
-        at = np.fromiter((known.setdefault(w, len(known)) for t in texts for w in t), np.int64, total)
+        at = known.of(texts, total)
         if len(known) > len(self.hashes[0]):
             self.hashes = [np.concatenate((h, np.zeros(2 * len(known) - len(h), np.uint64))) for h in self.hashes]
         if len(known) > new:
@@ -168,8 +183,12 @@ def order_of(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each id, position of an id of each rank); null is first."""
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     value = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    _, first, rank = np.unique(np.rec.fromarrays([known, value]), return_index=True, return_inverse=True) if len(value) else ((), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return rank.reshape(-1), first
+    order, starts = groups(known, value)
+    rank = np.zeros(len(order), np.int64)
+    rank[starts[1:]] = 1
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(rank)
+    return out, order[starts]
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,11 +269,10 @@ def dealt(rows: DataFrame, filters, shards: int) -> DataFrame:
         order, first = groups(chunk.key, seg, seg2)
         low = np.minimum.reduceat(rank[chunk.doc[order]], first) if len(first) else np.zeros(0, np.int64)
         n, one = np.diff(first, append=len(order)), order[first]
-        flat = [b" ".join(t) for t in chunk.texts]  # words are cut out of it by their places
-        ends = [np.cumsum(np.fromiter((len(w) + 1 for w in t), np.int64, len(t))) for t in chunk.texts]
-        doc, a = chunk.doc[one], chunk.start[one] - chunk.first[chunk.doc[one]]
-        z = a + chunk.size[one] + WINDOW - 1
-        words = [None if s else flat[d][int(ends[d][i - 1]) if i else 0 : int(ends[d][j - 1]) - 1] for d, i, j, s in zip(doc.tolist(), a.tolist(), z.tolist(), chunk.single[one].tolist(), strict=True)]
+        flat = b" ".join(chain.from_iterable(chunk.texts))  # words are cut out of it by their places
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, chain.from_iterable(chunk.texts)), np.int64, len(chunk.prefix[0]) - 1) + 1)))
+        a, z = ends[chunk.start[one]], ends[chunk.start[one] + chunk.size[one] + WINDOW - 1] - 1
+        words = [None if s else flat[i:j] for i, j, s in zip(a.tolist(), z.tolist(), chunk.single[one].tolist(), strict=True)]
         shard = (np.where(chunk.single[one], seg[one], chunk.key[one]) % np.uint64(shards)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(shard), signed(chunk.key[one]), signed(seg[one]), signed(seg2[one]), pa.array(words, pa.binary()), ids.take(pa.array(of[low])), pa.array(n)], ["shard", "key", "seg", "seg2", "words", "id", "n"]
@@ -400,12 +418,11 @@ class Index:
 
 def window_marks(texts: list[list[bytes]], own: np.ndarray) -> np.ndarray:
     """For each of different segments a number whose bit i is set if the window i words in stands at a smaller id too."""
-    names: dict[bytes, int] = {}
     sizes = np.array([len(t) for t in texts], np.int64)
     text = np.zeros(int((sizes + 1).sum()), np.int64)  # 0 ends a segment
     first = np.cumsum(sizes + 1) - sizes - 1
     at = np.arange(len(text)) - np.repeat(first, sizes + 1)
-    text[at < np.repeat(sizes, sizes + 1)] = np.fromiter((names.setdefault(w, len(names) + 1) for t in texts for w in t), np.int64, int(sizes.sum()))
+    text[at < np.repeat(sizes, sizes + 1)] = Numbers(1).of(texts, int(sizes.sum()))
     index = Index(text, WINDOW)
     n = sizes - WINDOW + 1
     of = np.repeat(np.arange(len(sizes)), n)  # the segment of each window
