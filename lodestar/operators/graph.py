@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import scratch
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, out_degree, in_degree; nodes without edges have zero."""
@@ -139,3 +141,18 @@ def first_kept(nodes: DataFrame, links: DataFrame) -> DataFrame:
         left = left.join(done.select("node"), "node", "left_anti").checkpoint()
         live = live.join(done.select(F.col("node").alias("a")), "a", "left_anti").join(done.select(F.col("node").alias("b")), "b", "left_anti").checkpoint()
     return out
+
+
+def component_order(edges: DataFrame) -> DataFrame:
+    """(node, component, level, place): strongly connected components in topological order, callers before callees.
+
+    The components' own graph has no cycles; a component's level is its longest way down. Places ascend from 0 by falling
+    level, then by component; the nodes of a component share its place.
+    """
+    part = strong_components(edges).checkpoint()
+    a, b = part.select(F.col("node").alias("src"), F.col("component").alias("_a")), part.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+    between = edges.select("src", "dst").join(a, "src").join(b, "dst").where("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct().checkpoint()
+    single = part.select(F.col("component").alias("node")).distinct()
+    level = single.join(levels(between), "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    placed = scratch.ranked(level, [F.desc("level"), F.asc("node")], "place").withColumnRenamed("node", "component")
+    return part.join(placed, "component").select("node", "component", "level", "place")

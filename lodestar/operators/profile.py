@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def inclusive(frames: DataFrame, depth: int) -> DataFrame:
-    """frames(node, parent, level, own) with `total`, the cost of the subtree: one join per level, deepest first."""
-    done = frames.where(F.col("level") == depth).withColumn("total", F.col("own"))
-    out = done
-    for level in range(depth - 1, -1, -1):
-        below = done.groupBy(F.col("parent").alias("node")).agg(F.sum("total").alias("_s"))
-        done = frames.where(F.col("level") == level).join(below, "node", "left").withColumn("total", F.col("own") + F.coalesce("_s", F.lit(0))).drop("_s").select(*out.columns)
-        out = out.unionByName(done)
-    return out
+from ..plans import scratch
+
+
+def inclusive(frames: DataFrame) -> DataFrame:
+    """frames(node, parent, own) with `total`, the cost of the subtree, of a tree of any depth.
+
+    Costs climb one level a round, summed by the node that they reach, so that a round handles a row for each node that
+    has something below it and reads nothing that earlier rounds have read; then all sums of a node are added up once.
+    """
+    scratch.checkpoints(frames.sparkSession)
+    up = frames.where("parent IS NOT NULL").select("node", "parent").checkpoint()
+    costs = frames.select("node", F.col("own").alias("_c")).checkpoint()
+    out, front = costs, costs
+    while True:
+        front = front.join(up, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("_c").alias("_c")).checkpoint()
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    total = out.groupBy("node").agg(F.sum("_c").alias("total"))
+    return frames.join(total, "node")
 
 
 def self_cost(frames: DataFrame) -> DataFrame:

@@ -27,13 +27,17 @@ def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best docs(id, text) for each of queries(q, text): q, id, score, rank; scores are ranked to six decimals, ties by id."""
+    """The k best docs(id, text) for each of queries(q, text): q, id, score, rank; scores are ranked to six decimals, ties by id.
+    Ids of docs are unique. A document's words are taken apart once, with its length beside each of those that are asked for."""
     want = postings(queries, "q", "text").select("q", "token")
-    found = postings(docs, "id", "text", want.select("token").distinct())
-    length = docs.groupBy("id").agg(F.sum(F.size(words_of("text"))).alias("dl")).where("dl > 0")
-    whole = F.broadcast(length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
+    only = want.select("token").distinct()
+    few = only.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    words = docs.select("id", words_of("text").alias("_w")).select("id", F.size("_w").alias("dl"), F.explode("_w").alias("token"))
+    found = words.join(F.broadcast(only) if few else only, "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    size = F.regexp_count(F.lower("text"), F.lit(TOKEN)).cast("long")
+    whole = F.broadcast(docs.select(size.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
     df = found.groupBy("token").agg(F.count("*").alias("df"))
-    hits = found.join(df, "token").join(length, "id").join(want, "token").crossJoin(whole)
+    hits = found.join(df, "token").join(want, "token").crossJoin(whole)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("q", "id").agg(F.sum(part).alias("score"))

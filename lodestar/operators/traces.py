@@ -13,12 +13,13 @@ from ..plans import scratch
 
 #: Names that mark a frame without a function.
 UNKNOWN = ("", "???", "<root>", "<unnamed>")
-PATHS = "tree string, path array<string>, cost array<bigint>, share array<double>, owner array<string>, source array<string>"
+PATHS = "tree string, leaf int, path array<string>, cost array<bigint>, share array<double>, owner array<string>, source array<string>"
 
 
 def tree_paths(trees: DataFrame) -> DataFrame:
     """trees(tree, body), body a nested profile {frameName, value, ownerName, sourcePath, children[]} as JSON: a row per
-    leaf-to-root path, children in order. A walk with its own stack, so that depth is not bounded by Python's."""
+    leaf-to-root path, with the number of its leaf, children in order. A walk with its own stack, so that depth is not bounded
+    by Python's."""
 
     def walked(root: dict) -> Iterator[tuple]:
         whole = root.get("value") or 0
@@ -33,16 +34,21 @@ def tree_paths(trees: DataFrame) -> DataFrame:
             stack.extend((c, here) for c in reversed(children))
 
     def run(batches):
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.string())]
-        names = ["tree", "path", "cost", "share", "owner", "source"]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.string())]
+        names = ["tree", "leaf", "path", "cost", "share", "owner", "source"]
         for b in batches:
             for tree, body in zip(b.column("tree").to_pylist(), b.column("body").to_pylist(), strict=True):
-                rows = [(tree, *p) for p in walked(json.loads(body))]
+                rows = [(tree, i, *p) for i, p in enumerate(walked(json.loads(body)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return trees.select("tree", "body").mapInArrow(run, PATHS)
 
 
+def path_at(trees: DataFrame, number: int) -> DataFrame:
+    """The path of leaf `number` (from 0) of each tree that has so many."""
+    return tree_paths(trees).where(F.col("leaf") == number)
+
+
 def of_interest(owner: Column, owners: list[str]) -> Column:
     """Membership; an empty list keeps all."""
     return owner.isin(*owners) if owners else F.lit(True)

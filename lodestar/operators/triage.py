@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans import scratch
 from . import findings
 
 #: What fields of a finding without consequence look like, matched without regard to case.
@@ -131,19 +134,64 @@ def folder_summary(issues: DataFrame) -> DataFrame:
     return every.groupBy("prefix").agg(F.count("*").alias("issues"), *counts, F.countDistinct("file_path").alias("files"), F.countDistinct(F.when(deeper, F.col("below"))).alias("folders"))
 
 
-def batched(rows: DataFrame, by: str, order: str, cost: str, budget: int, most: int) -> DataFrame:
-    """rows with `batch`, a number from 0 within each `by`: in order, a batch is closed when the next row would exceed the
-    budget or it has `most` rows. The fold runs inside each `by`, over (order, cost) pairs alone."""
-    items = F.array_sort(F.collect_list(F.struct(order, F.col(cost).cast("long").alias("c"))))
-    state = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"), F.array().cast("array<bigint>").alias("out"))
+BLOCK = 4_096  # rows that one task goes through at once
 
-    def step(s: Column, x: Column) -> Column:
-        shut = (s["n"] > 0) & ((s["n"] >= most) | (s["t"] + x["c"] > budget))
-        b = s["b"] + shut.cast("long")
-        return F.struct(b.alias("b"), F.when(shut, F.lit(1)).otherwise(s["n"] + 1).cast("long").alias("n"), F.when(shut, x["c"]).otherwise(s["t"] + x["c"]).cast("long").alias("t"), F.array_append(s["out"], b).alias("out"))
 
-    folded = rows.groupBy(by).agg(items.alias("_i")).withColumn("_b", F.aggregate("_i", state, step, lambda s: s["out"]))
-    each = folded.select(by, F.explode(F.arrays_zip("_i", "_b")).alias("_z")).select(by, F.col(f"_z._i.{order}").alias(order), F.col("_z._b").alias("batch"))
+def batched(rows: DataFrame, by: str, order: str, cost: str, budget: int, most: int) -> DataFrame:
+    """rows with `batch`, a number from 0 within each `by`: in order, a batch is closed when the next row would exceed the
+    budget or it has `most` rows. order is unique within `by`, costs are not negative.
+
+    Where a batch begins depends on all rows before it, but only through how far the last batch reaches into a block of
+    rows, which is less than `most` rows. So each block is gone through by itself for every such beginning, the short
+    tables of what comes out of each are followed from block to block, and blocks are numbered from where they are entered.
+    No task gets more than a block of rows, whatever the sizes of the `by`.
+    """
+    at = scratch.ranked(rows.select(by, order, F.col(cost).cast("long").alias("c")), [by, order], "_at")
+    begin = at.groupBy(by).agg(F.min("_at").alias("_first"))
+    placed = at.join(begin, by).select(by, order, "c", (F.col("_at") - F.col("_first")).alias("at")).checkpoint()
+    block, inside = F.floor(F.col("at") / BLOCK), F.col("at") % BLOCK
+    ahead = F.when((inside < most) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))  # what a last batch may take of the next block
+    blocks = placed.select(by, order, "c", "at", F.explode(ahead).alias("block"))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+
+    def nexts(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+        table = table.sort_by("at")
+        place = table.column("at").to_numpy() - int(table.column("block")[0].as_py()) * BLOCK
+        total = np.concatenate(([0], np.cumsum(table.column("c").to_numpy())))
+        row = np.arange(len(place))
+        reach = np.searchsorted(total, total[:-1] + budget, side="right") - 1
+        return table, np.maximum(np.minimum(np.minimum(row + most, reach), len(place)), row + 1), int((place < BLOCK).sum())
+
+    def through(table: pa.Table) -> pa.Table:
+        table, after, own = nexts(table)
+        leave, count = np.zeros(own + most + 1, np.int64), np.zeros(own + most + 1, np.int64)
+        leave[own:] = np.arange(most + 1)  # a batch of an earlier block ends beyond a short last block
+        for p in range(own - 1, -1, -1):
+            q = int(after[p])
+            leave[p], count[p] = (q - own, 1) if q >= own else (leave[q], count[q] + 1)
+        return pa.table([table.column(by)[:1], table.column("block")[:1], pa.array([leave[:most].tolist()]), pa.array([count[:most].tolist()])], names=[by, "block", "leave", "count"])
+
+    found = blocks.groupBy(by, "block").applyInArrow(through, f"{by} {kinds[by]}, block bigint, leave array<bigint>, count array<bigint>")
+    listed = found.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("block", "leave", "count"))).alias("l"))  # a row a block
+    start = F.struct(F.lit(0).cast("long").alias("enter"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<struct<block:bigint,enter:bigint,batch:bigint>>").alias("out"))
+
+    def follow(s: Column, x: Column) -> Column:
+        e = s["enter"].cast("int")
+        return F.struct(F.get(x["leave"], e).alias("enter"), (s["batch"] + F.get(x["count"], e)).alias("batch"), F.array_append(s["out"], F.struct(x["block"].alias("block"), s["enter"].alias("enter"), s["batch"].alias("batch"))).alias("out"))
+
+    entered = listed.select(by, F.explode(F.aggregate("l", start, follow, lambda s: s["out"])).alias("e")).select(by, "e.block", "e.enter", "e.batch")
+
+    def number(table: pa.Table) -> pa.Table:
+        table, after, own = nexts(table)
+        begins = np.zeros(len(after), np.int64)
+        p = int(table.column("enter")[0].as_py())
+        while p < own:
+            begins[p] = 1
+            p = int(after[p])
+        batch = int(table.column("batch")[0].as_py()) - 1 + np.cumsum(begins)
+        return pa.table([table.column(by)[:own], table.column(order)[:own], pa.array(batch[:own])], names=[by, order, "batch"])
+
+    each = blocks.join(entered, [by, "block"]).groupBy(by, "block").applyInArrow(number, f"{by} {kinds[by]}, {order} {kinds[order]}, batch bigint")
     return rows.join(each, [by, order])
 
 

@@ -71,3 +71,26 @@ def top_per_key(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call graph (src, dst) of parts, which grows with lineitem: each calls the two that its successors in orders lead to most.
+
+    A successor leads to a part of the same module (five parts) or of one less than half as far up, so that the graph
+    has rings inside modules and is a few calls deep in all.
+    """
+    item = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    from pyspark.sql import Window
+
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    both = item.select(F.col("l_partkey").alias("src"), nxt.alias("b")).where("b IS NOT NULL")
+    dst = F.expr("CASE WHEN b % 3 = 0 THEN 5 * (src div 5) + b % 5 ELSE 5 * (((src div 5) * (b % 7 + 1)) div 16) + b % 5 END")
+    sums = both.select("src", dst.cast("long").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return top_per_key(sums, ["src"], [F.desc("n"), F.asc("dst")], 2).select("src", "dst")
+
+
+MODULES_SQL = """mods AS MATERIALIZED (SELECT src, dst FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS k FROM (
+    SELECT a AS src, CASE WHEN b % 3 = 0 THEN 5 * (a // 5) + b % 5 ELSE 5 * (((a // 5) * (b % 7 + 1)) // 16) + b % 5 END AS dst FROM (
+      SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL)
+  WHERE src <> dst GROUP BY src, dst) WHERE k <= 2)"""

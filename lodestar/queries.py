@@ -22,7 +22,7 @@ tree AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2
 
 @query(f"WITH {TREE_SQL} SELECT level, name, sum(total)::BIGINT AS total, sum(own)::BIGINT AS own, count(*) AS frames, sum(total)::DOUBLE / (SELECT sum(own) FROM frames) AS share FROM tree GROUP BY 1, 2 HAVING sum(total) > 0")
 def profile_cost_by_key(spark, d):
-    tree = profile.inclusive(t.frames(spark, d), 3)
+    tree = profile.inclusive(t.frames(spark, d))
     whole = F.broadcast(tree.agg(F.sum("own").alias("_w")))
     out = profile.by_key(tree, ["level", "name"], total="total", own="own").where("total > 0").crossJoin(whole)
     return out.select("level", "name", "total", "own", "frames", (F.col("total").cast("double") / F.col("_w")).alias("share"))
@@ -30,7 +30,7 @@ def profile_cost_by_key(spark, d):
 
 @query(f"WITH {TREE_SQL} SELECT a.node, a.total::BIGINT AS total, (a.total - coalesce(s, 0))::BIGINT AS self FROM tree a LEFT JOIN (SELECT parent AS p, sum(total) AS s FROM tree GROUP BY 1) ON p = a.node")
 def profile_self_cost(spark, d):
-    return profile.self_cost(profile.inclusive(t.frames(spark, d), 3)).select("node", "total", "self")
+    return profile.self_cost(profile.inclusive(t.frames(spark, d))).select("node", "total", "self")
 
 
 YEARS_SQL = "SELECT p_brand, p_type, sum(floor(l_extendedprice)::BIGINT)::BIGINT AS cost FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = {} GROUP BY 1, 2"
@@ -350,4 +350,4 @@ def pricing_summary(spark, d):
     return t.table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.count("*").alias("n"))
 
 
-from .suite import changes, profiles, scalars, stores, trees, triage  # noqa: E402, F401 - they add their queries
+from .suite import artifacts, changes, code, matching, modules, profiles, scalars, searches, sinks, stores, streams, trees, triage  # noqa: E402, F401 - they add their queries

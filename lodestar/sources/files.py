@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 ISSUE = "struct<issue:string,severity:string,category:string,file_path:string,function_name:string,line_number:string,description:string>"
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """Issues of wrapper files {file_path, function, checksum, results[]}; the wrapper fills what an issue lacks."""
+def results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Issues of wrappers {file_path, function, checksum, results[]}, one a file or, with lines, one a line; the wrapper fills
+    what an issue lacks."""
     schema = f"file_path string, function string, checksum string, results array<{ISSUE}>, _corrupt_record string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     one = raw.where(F.col("_corrupt_record").isNull()).select("file_path", "function", "checksum", F.explode("results").alias("r"))
     return one.select(
         "r.issue", "r.severity", "r.category", F.coalesce(F.nullif("r.file_path", F.lit("")), "file_path").alias("file_path"),

@@ -18,12 +18,13 @@ REQUIRED = ("Title", "Severity")
 BETWEEN = "=" * 22
 
 
-def issue_blocks(dumps: DataFrame, body: str) -> DataFrame:
-    """A row per block; a section runs from its header to the next one. A block without a required header is an error."""
-    blocks = dumps.select(F.explode(F.split(body, rf"(?m)^?{BETWEEN}\s*\n?")).alias("b")).where(F.trim("b") != "")
+def issue_blocks(dumps: DataFrame, body: str, keep: list[str] | tuple = ()) -> DataFrame:
+    """A row per block, with the columns in keep; a section runs from its header to the next one. A block without a required
+    header is an error."""
+    blocks = dumps.select(*keep, F.explode(F.split(body, rf"(?m)^?{BETWEEN}\s*\n?")).alias("b")).where(F.trim("b") != "")
     heads = "|".join(map(re.escape, HEADERS))
     section = lambda h: F.nullif(F.trim(F.regexp_extract("b", rf"(?s)(?:^|\n){re.escape(h)}:[ \t]*(.*?)(?=\n(?:{heads}):|\s*$)", 1)), F.lit(""))
-    out = blocks.select(*[section(h).alias(c) for h, c in HEADERS.items()])
+    out = blocks.select(*keep, *[section(h).alias(c) for h, c in HEADERS.items()])
     for h in REQUIRED:
         out = out.withColumn(HEADERS[h], F.coalesce(HEADERS[h], F.raise_error(F.lit(f"a block has no {h}")).cast("string")))
     return out
@@ -31,11 +32,15 @@ def issue_blocks(dumps: DataFrame, body: str) -> DataFrame:
 
 def markdown_issues(pages: DataFrame, body: str) -> DataFrame:
     """A finding per page: the first heading, `**Name**: value` fields and the description."""
+    return pages.select(*[c.alias(n) for n, c in markdown_fields(body).items()])
+
+
+def markdown_fields(body: str) -> dict[str, Column]:
     field = lambda n: F.nullif(F.trim(F.regexp_extract(body, rf"(?im)^\s*[-*]?\s*\*\*{n}\*\*:?\s*(.*)$", 1)), F.lit(""))
-    return pages.select(
-        F.trim(F.regexp_extract(body, r"(?m)^#\s+(.*)$", 1)).alias("title"), *[field(n).alias(n) for n in ("severity", "category", "file", "function")],
-        F.trim(F.regexp_extract(body, r"(?is)\n##\s+description\s*\n(.*?)(?=\n##\s|$)", 1)).alias("description"),
-    )
+    return {
+        "title": F.trim(F.regexp_extract(body, r"(?m)^#\s+(.*)$", 1)), **{n: field(n) for n in ("severity", "category", "file", "function")},
+        "description": F.trim(F.regexp_extract(body, r"(?is)\n##\s+description\s*\n(.*?)(?=\n##\s|$)", 1)),
+    }
 
 
 def balanced(text: str, opened: str, closed: str) -> list[str]:
@@ -108,14 +113,17 @@ def tool_requests(body: str) -> Column:
 
 def embedded_issues(pages: DataFrame, html: str, schema: str) -> DataFrame:
     """The objects of the array that follows `"issues":` in each page."""
+    return pages.select(F.explode(embedded_array(html, schema)).alias("i")).select("i.*")
+
 
+def embedded_array(html: str, schema: str) -> Column:
     def found(t: str | None) -> str:
         m = re.search(r"[\"']?issues[\"']?\s*[:=]\s*(?=\[)", t or "")
         spans = balanced(t[m.end() :], "[", "]") if m else []
         return spans[0] if spans else "[]"
 
     raw = F.pandas_udf(lambda s: s.map(found), "string")(html)
-    return pages.select(F.explode(F.from_json(raw, f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in schema.split(','))}>>")).alias("i")).select("i.*")
+    return F.from_json(raw, f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in schema.split(','))}>>")
 
 
 def repaired(files: DataFrame, body: str, schema: str) -> DataFrame:
@@ -139,6 +147,21 @@ def report_format(path: Column, body: Column) -> Column:
     return out
 
 
+def parsed(files: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
+    """(path, format, title, severity) of the findings in reports of all formats, each read by the first format that can.
+
+    JSON reports hold an array or an object of findings, HTML ones an embedded array, Markdown ones a finding, texts blocks.
+    """
+    known = files.withColumn("format", report_format(F.col(path), F.col(body)))
+    one = lambda name: known.where(F.col("format") == name)
+    kind = "title string, severity string"
+    json_ = one("json").select(path, "format", F.explode(F.from_json(body, f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")).alias("i")).select(path, "format", "i.title", "i.severity")
+    html = one("html").select(path, "format", F.explode(embedded_array(body, kind)).alias("i")).select(path, "format", "i.title", "i.severity")
+    marked = one("markdown").select(path, "format", *[c.alias(n) for n, c in markdown_fields(body).items() if n in ("title", "severity")])
+    text = issue_blocks(one("text"), body, keep=[path, "format"]).select(path, "format", "title", "severity")
+    return json_.unionByName(html).unionByName(marked).unionByName(text)
+
+
 def catalog(spark, entries: list[dict]) -> DataFrame:
     """A weakness catalogue, read on the driver (it is a file of some hundred entries), as a table."""
     return spark.createDataFrame(pd.DataFrame([{"id": str(e["id"]), "name": e.get("name", ""), "category": e.get("category", ""), "keywords": list(e.get("keywords", []))} for e in entries]))
