@@ -50,7 +50,7 @@ FILTER_BYTES = 32 << 20
 FILTER_BITS = 16  # of the filter a key, while there is room
 SHARD_WORDS = 150_000
 CROWDED = 1_000
-CHUNK_WORDS = 200_000  # that a task works on at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # of texts that a task works on at once; a longer text is a chunk of its own
 _RUN = WINDOW - GRAM + 1  # windows that may share one place of their key
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -63,59 +63,56 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Numbers(dict):
-    """Numbers from `first` on, in the order in which words come up."""
-
-    def __init__(self, first: int = 0):
-        self.first = first
+    """Numbers from 1 on, in the order in which words come up."""
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + self.first
+        n = self[word] = len(self) + 1
         return n
 
-    def of(self, texts: list[list[bytes]], total: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, total)
-
 
-class Words:
-    """Numbers and two hashes of words, kept while they are few, and the powers that prefix hashes need."""
+class Powers:
+    """What hashes of words and of spans of words are multiplied by, grown as texts need it."""
 
     def __init__(self):
-        self.number = Numbers()
-        self.hashes = [np.zeros(1 << 16, np.uint64) for _ in _BASES]
-        self.powers = [np.ones(1, np.uint64) for _ in _BASES]
+        self.bytes = [np.ones(1, np.uint64) for _ in _BASES]
+        self.words = [np.ones(1, np.uint64) for _ in _BASES]
         self.inverse = [np.ones(1, np.uint64) for _ in _BASES]
 
-    def numbers(self, texts: list[list[bytes]], total: int) -> np.ndarray:
-        if len(self.number) > 400_000:
-            self.number.clear()
-        known, new = self.number, len(self.number)
-        at = known.of(texts, total)
-        if len(known) > len(self.hashes[0]):
-            self.hashes = [np.concatenate((h, np.zeros(2 * len(known) - len(h), np.uint64))) for h in self.hashes]
-        if len(known) > new:
-            words = list(known)[new:]  # in the order of their numbers
-            for k, h in enumerate(self.hashes):
-                h[new : len(known)] = np.fromiter((xxhash.xxh64_intdigest(w, 11 + k) for w in words), np.uint64, len(words))
-        return at
-
-    def upto(self, n: int) -> None:
-        while len(self.powers[0]) <= n:
-            for k, b in enumerate(_BASES):
-                for row, base in ((self.powers, b), (self.inverse, pow(b, -1, 1 << 64))):
+    def upto(self, letters: int, words: int) -> None:
+        for k, b in enumerate(_BASES):
+            for row, base, n in ((self.bytes, b ^ 0x5851F42D4C957F2C, letters), (self.words, b, words), (self.inverse, pow(b, -1, 1 << 64), words)):
+                while len(row[k]) <= n:
                     row[k] = np.concatenate((row[k], row[k] * np.uint64(pow(base, len(row[k]), 1 << 64))))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
 class Chunk:
-    """The segments of some texts: doc (of texts), start (in the chunk's words), windows, key, and the hashes of spans."""
-
-    def __init__(self, known: Words, texts: list[list[bytes]]):
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.texts, self.first = texts, np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        at = known.numbers(texts, total)
-        known.upto(total)
-        self.known, h = known, [row[at] for row in known.hashes]
-        self.prefix = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * p[: len(x)], dtype=np.uint64))) for x, p in zip(h, known.powers, strict=True)]
+    """The segments of some texts: doc (of texts), start (in the chunk's words), windows, key, and the hashes of spans.
+
+    Words are found and hashed in the bytes of all texts at once.
+    """
+
+    def __init__(self, powers: Powers, texts: list[bytes]):
+        self.flat = b"\n".join([*texts, b""])
+        raw = np.frombuffer(self.flat, np.uint8)
+        space = _SPACE[raw]
+        inside = np.flatnonzero(~space)
+        turn = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # in inside: where words begin
+        self.begin = inside[turn]
+        letters = np.diff(turn, append=len(inside))
+        self.end = self.begin + letters
+        total = len(turn)
+        of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.begin, side="right")
+        sizes = np.bincount(of, minlength=len(texts))
+        self.first = np.cumsum(sizes) - sizes
+        powers.upto(int(letters.max(initial=0)), total)
+        self.powers, byte = powers, raw[inside].astype(np.uint64) + np.uint64(1)
+        at = np.arange(len(inside)) - np.repeat(turn, letters)
+        h = [mixed(np.add.reduceat(byte * p[at], turn)) if total else np.zeros(0, np.uint64) for p in powers.bytes]
+        self.prefix = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * p[: len(x)], dtype=np.uint64))) for x, p in zip(h, powers.words, strict=True)]
         windows = np.maximum(sizes - WINDOW + 1, 0)
         of = np.repeat(np.arange(len(texts)), windows)
         place = np.arange(len(of)) + np.repeat(self.first - (np.cumsum(windows) - windows), windows)
@@ -139,7 +136,7 @@ class Chunk:
 
     def spans(self, start: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         """The two hashes of spans of the chunk's words."""
-        return [mixed((p[start + words] - p[start]) * i[start] + words.astype(np.uint64)) for p, i in zip(self.prefix, self.known.inverse, strict=True)]
+        return [mixed((p[start + words] - p[start]) * i[start] + words.astype(np.uint64)) for p, i in zip(self.prefix, self.powers.inverse, strict=True)]
 
     def singles(self, crowd: np.ndarray) -> None:
         """Cuts the segments whose keys the filter takes for crowded into their windows; `single` says which they are."""
@@ -161,20 +158,20 @@ def scanned(run):
     """A function for mapInArrow over (row, id, text): run(chunk, ids, rows) is called for each chunk of a batch's documents."""
 
     def wrapped(batches):
-        known = Words()
+        powers = Powers()
         for b in batches:
             ids, rows = b.column("id"), b.column("row").to_numpy()
-            held: list[list[bytes]] = []
+            held: list[bytes] = []
             n = begun = 0
             for at, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                words = (text or b"").split()  # ASCII white space alone, the same as the pattern's
-                if held and n + len(words) > CHUNK_WORDS:
-                    yield run(Chunk(known, held), ids.slice(begun, at - begun), rows[begun:at])
+                text = text or b""
+                if held and n + len(text) > CHUNK_BYTES:
+                    yield run(Chunk(powers, held), ids.slice(begun, at - begun), rows[begun:at])
                     held, n, begun = [], 0, at
-                held.append(words)
-                n += len(words)
+                held.append(text)
+                n += len(text)
             if held:
-                yield run(Chunk(known, held), ids.slice(begun, len(held)), rows[begun : begun + len(held)])
+                yield run(Chunk(powers, held), ids.slice(begun, len(held)), rows[begun : begun + len(held)])
 
     return common.freeing(wrapped)
 
@@ -269,10 +266,8 @@ def dealt(rows: DataFrame, filters, shards: int) -> DataFrame:
         order, first = groups(chunk.key, seg, seg2)
         low = np.minimum.reduceat(rank[chunk.doc[order]], first) if len(first) else np.zeros(0, np.int64)
         n, one = np.diff(first, append=len(order)), order[first]
-        flat = b" ".join(chain.from_iterable(chunk.texts))  # words are cut out of it by their places
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, chain.from_iterable(chunk.texts)), np.int64, len(chunk.prefix[0]) - 1) + 1)))
-        a, z = ends[chunk.start[one]], ends[chunk.start[one] + chunk.size[one] + WINDOW - 1] - 1
-        words = [None if s else flat[i:j] for i, j, s in zip(a.tolist(), z.tolist(), chunk.single[one].tolist(), strict=True)]
+        a, z = chunk.begin[chunk.start[one]], chunk.end[chunk.start[one] + chunk.size[one] + WINDOW - 2]
+        words = [None if s else chunk.flat[i:j] for i, j, s in zip(a.tolist(), z.tolist(), chunk.single[one].tolist(), strict=True)]
         shard = (np.where(chunk.single[one], seg[one], chunk.key[one]) % np.uint64(shards)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(shard), signed(chunk.key[one]), signed(seg[one]), signed(seg2[one]), pa.array(words, pa.binary()), ids.take(pa.array(of[low])), pa.array(n)], ["shard", "key", "seg", "seg2", "words", "id", "n"]
@@ -350,7 +345,9 @@ class WaveletTree:
             bit = (code >> (size - level - 1)) & 1
             bits = Bits(bit)
             starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            self.levels.append((bits, node[starts], starts, bits.ones(starts)))
+            on = self.size > level
+            names = np.searchsorted(node[starts], self.code >> np.maximum(self.size - level, 0)) * on  # the node of each symbol that gets so deep
+            self.levels.append((bits, names, starts, bits.ones(starts)))
             # each node's zeros go before its ones, in their order; then symbols whose code is over leave
             of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(node)))
             ones = np.cumsum(bit) - bit
@@ -371,10 +368,9 @@ class WaveletTree:
             left = left[size[left] > level]
             if not len(left):
                 break
-            rest = size[left] - level
-            node = np.searchsorted(names, code[left] >> rest)
-            one = bits.ones(starts[node] + at[left]) - ones[node]
-            at[left] = np.where((code[left] >> (rest - 1)) & 1, one, at[left] - one)
+            node, now = names[symbol[left]], at[left]
+            one = bits.ones(starts[node] + now) - ones[node]
+            at[left] = np.where((code[left] >> (size[left] - level - 1)) & 1, one, now - one)
         return at
 
 
@@ -422,7 +418,7 @@ def window_marks(texts: list[list[bytes]], own: np.ndarray) -> np.ndarray:
     text = np.zeros(int((sizes + 1).sum()), np.int64)  # 0 ends a segment
     first = np.cumsum(sizes + 1) - sizes - 1
     at = np.arange(len(text)) - np.repeat(first, sizes + 1)
-    text[at < np.repeat(sizes, sizes + 1)] = Numbers(1).of(texts, int(sizes.sum()))
+    text[at < np.repeat(sizes, sizes + 1)] = np.fromiter(map(Numbers().__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     index = Index(text, WINDOW)
     n = sizes - WINDOW + 1
     of = np.repeat(np.arange(len(sizes)), n)  # the segment of each window
@@ -457,7 +453,7 @@ def searched(shards: DataFrame) -> DataFrame:
             index = np.flatnonzero(~alone & words.is_valid().to_numpy())
             marks = np.zeros(len(rows), np.int64)
             if len(index):
-                marks[index] = window_marks([w.split(b" ") for w in words.take(pa.array(index)).to_pylist()], own[index])
+                marks[index] = window_marks([w.split() for w in words.take(pa.array(index)).to_pylist()], own[index])  # ASCII white space alone, the same as the pattern's
             some = np.flatnonzero((times > 1) | (marks != 0))
             return pa.table([pa.array(seg[rows[some]]), pa.array(seg2[rows[some]]), ids.take(pa.array(at[own[some]])), pa.array(marks[some])], names=["seg", "seg2", "least", "marks"])
 

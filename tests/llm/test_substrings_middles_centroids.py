@@ -95,10 +95,12 @@ def test_index_counts_and_statistics():
 
 def test_chunks_hold_every_window_once():
     rng = random.Random(4)
-    known = substring_dedup.Words()
+    powers = substring_dedup.Powers()
     for few in (2, 5, 5000):
         texts = [[f"w{rng.randrange(few)}".encode() for _ in range(n)] for n in (0, 12, 13, 14, 40, 0, 500)]
-        chunk = substring_dedup.Chunk(known, texts)
+        raw = [rng.choice([b" ", b"\n \t", b"\x0b"]).join(t) for t in texts]
+        chunk = substring_dedup.Chunk(powers, raw)
+        assert [chunk.flat[a:z] for a, z in zip(chunk.begin, chunk.end, strict=True)] == [w for t in texts for w in t]
         seg = chunk.spans(chunk.start, chunk.size + 12)
         assert len(chunk.size) == 0 or chunk.size.max() <= 9
         windows, same = [], {}
