@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,6 +39,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, turned: bool = False) -
     each corpus row that gets its k best queries. Scores are ranked to nine decimals, ties by id.
     """
     kinds = {"q": queries.schema["q"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
+    named = to_arrow_type(queries.schema["q"].dataType)
     spark, by, tie = queries.sparkSession, ("id", "q") [not turned], ("q", "id")[not turned]
 
     def matrix(lists: pa.Array) -> np.ndarray:
@@ -62,7 +64,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, turned: bool = False) -
                 least = np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most]
                 row, col = np.nonzero(score >= least[:, None])  # ties at the end included
                 i, j = (col, row) if turned else (row, col)
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(score[row, col])], ["q", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, named).take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(score[row, col])], ["q", "id", "score"])
 
         got = corpus.select("id", "u").mapInArrow(run, f"q {kinds['q']}, id {kinds['id']}, score double")
         out = got if out is None else out.unionByName(got)

@@ -38,3 +38,43 @@ def probed(wanted: DataFrame, stores: list[DataFrame], keys: list[str], value: s
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def got_or_created(accounts: DataFrame, asked: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(returned, accounts afterwards) for requests in order: one for a key that is there updates it and returns the row as it
+    was; the first for a key that is not there creates it and returns the new row."""
+    values = [c for c in asked.columns if c not in (*keys, order)]
+    row = lambda *by: F.struct(*[F.col(c) for c in values])
+    before = accounts.select(*keys, row().alias("_old"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    both = asked.select(*keys, order, row().alias("_new"), F.lag(row()).over(w).alias("_last")).join(before, keys, "left")
+    was = F.coalesce("_last", "_old")
+    back = both.select(*keys, order, F.coalesce(was, F.col("_new")).alias("_r"), was.isNull().alias("created")).select(*keys, order, *[F.col(f"_r.{c}").alias(c) for c in values], "created")
+    last = asked.groupBy(*keys).agg(F.max_by(row(), order).alias("_v"))
+    after = before.join(last, keys, "full_outer").select(*keys, F.coalesce("_v", "_old").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+    return back, after
+
+
+def inserted(results: DataFrame, new: DataFrame, parents: DataFrame, key: str, kind: str, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(results with new, parents with their counts refreshed): total and one count a kind, of the parents that got rows alone."""
+    every = results.unionByName(new)
+    touched = new.select(key).distinct()
+    counts = every.join(touched, key, "left_semi").groupBy(key).agg(F.count("*").alias("_total"), *[F.count_if(F.lower(kind) == k).alias(f"_{k}") for k in kinds])
+    named = ["total", *kinds]
+    return every, parents.join(counts, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in named else F.col(c) for c in parents.columns])
+
+
+def changed_content(index: DataFrame, files: DataFrame) -> DataFrame:
+    """files(path, md5, ...) that index(path, md5) does not have with this content."""
+    return files.join(index.select("path", F.col("md5").alias("_m")), "path", "left").where(~F.col("md5").eqNullSafe(F.col("_m"))).drop("_m")
+
+
+def moved(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """files(name, file_path) with `source`, the first of sources(path) that they belong to, null for those that stay: the path
+    in the file ends with the source's, in whole components, and the file's name holds the source's name without its ending."""
+    parts = F.split("file_path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    met = files.select("name", "file_path", F.explode(ends).alias("path")).join(sources.select("path").distinct(), "path")
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    hit = met.where(F.contains("name", base)).groupBy("name", "file_path").agg(F.min("path").alias("source"))
+    return files.join(hit, ["name", "file_path"], "left")
