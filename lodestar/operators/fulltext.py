@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter
+from ..plans import scratch
 
 WORDS = r"[\p{L}\p{N}]+"
 #: Distinct words whose stems may be broadcast, and words of queries; they are counted before.
@@ -33,7 +34,8 @@ def terms_of(words: DataFrame, stems: bool = True) -> DataFrame:
     """words(word, ...) with `term` in place of word; each different word is stemmed once."""
     if not stems:
         return words.withColumnRenamed("word", "term")
-    known = words.select("word").distinct().withColumn("term", porter(F.col("word")))
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to do: not to be put into one task
+    known = words.select("word").distinct().repartition(spread).withColumn("term", porter(F.col("word")))
     return words.join(_small(known), "word").drop("word")
 
 
@@ -104,7 +106,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, entries: DataFram
     on the columns of queries and entries(id, ...), is applied before the k best are taken. Scores are ranked to six decimals,
     ties by id.
     """
-    hits = found(spark, path, phrases(queries, stems, whole))
+    scratch.checkpoints(spark)
+    hits = found(spark, path, phrases(queries, stems, whole).checkpoint()).checkpoint()
     frequency = hits.groupBy("q", "phrase").agg(F.count("*").alias("df"))
     lengths = current(spark, path)
     size = F.broadcast(lengths.agg(F.count("*").alias("total"), F.avg("n").alias("mean")))  # one row
