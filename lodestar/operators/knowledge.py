@@ -98,3 +98,28 @@ def merged(*registries: DataFrame) -> DataFrame:
     for r in registries[1:]:
         every = every.unionByName(r)
     return every.groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+
+
+def seeded(nodes: DataFrame, issues: DataFrame, confidence: float = 0.3) -> DataFrame:
+    """(entity_key, summary, confidence, checksum) of each of nodes(function, file, source, omitted, depth, checksum) that is no stub:
+    its first line of code, its depth, and how many of issues(function, file) it has, if any."""
+    line = F.trim(F.regexp_extract("source", r"(?m)^[ \t]*(?!//)(\S.*)$", 1))
+    whole = nodes.where((F.trim(F.coalesce("source", F.lit(""))) != "") & F.col("omitted").isNull() & (F.trim("function") != "") & (F.trim("file") != "") & (line != ""))
+    counts = issues.groupBy("function", "file").agg(F.count("*").alias("_n"))
+    both = whole.join(counts, ["function", "file"], "left")
+    marker = F.when(F.col("_n") > 0, F.concat(F.lit("defects: "), F.col("_n").cast("string")))
+    summary = F.concat_ws("; ", line, F.concat(F.lit("depth "), F.col("depth").cast("string")), marker)
+    return both.select(F.concat_ws("::", F.trim("file"), F.trim("function")).alias("entity_key"), summary.alias("summary"), F.lit(confidence).alias("confidence"), F.nullif("checksum", F.lit("")).alias("checksum"))
+
+
+def optimisations(store: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, id, how) of an append-only store(id, function): entries of exactly that function, else those whose function holds
+    it, whatever the case of a to z."""
+    from . import selection
+
+    names = asked.select("asked").distinct()
+    exact = names.join(store, F.col("asked") == F.col("function")).select("asked", "id", F.lit("exact").alias("how"))
+    open_ = names.join(exact.select("asked").distinct(), "asked", "left_anti").withColumn("b", F.lower("asked"))
+    low = store.withColumn("a", F.lower("function"))
+    like = selection.holding(low, open_).join(open_, "b").join(low, "a").select("asked", "id", F.lit("like").alias("how"))
+    return exact.unionByName(like)

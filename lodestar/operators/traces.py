@@ -44,6 +44,16 @@ def tree_paths(trees: DataFrame) -> DataFrame:
     return trees.select("tree", "body").mapInArrow(run, PATHS)
 
 
+ARRAYS = "array<array<struct<path:string,cost:bigint,ownerName:string,sourcePath:string>>>"
+
+
+def array_frames(docs: DataFrame, json: str) -> DataFrame:
+    """docs' other columns with (trace, pos, name, cost, owner, source) of profiles as arrays of arrays of frames in JSON."""
+    rest = [c for c in docs.columns if c != json]
+    outer = docs.select(*rest, F.posexplode(F.from_json(json, ARRAYS)).alias("trace", "_t"))
+    return outer.select(*rest, "trace", F.posexplode("_t").alias("pos", "_f")).select(*rest, "trace", "pos", F.col("_f.path").alias("name"), "_f.cost", F.col("_f.ownerName").alias("owner"), F.col("_f.sourcePath").alias("source"))
+
+
 def path_at(trees: DataFrame, number: int) -> DataFrame:
     """The path of leaf `number` (from 0) of each tree that has so many."""
     return tree_paths(trees).where(F.col("leaf") == number)

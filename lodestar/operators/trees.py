@@ -192,3 +192,23 @@ def budgeted(calls: DataFrame, size: DataFrame, roots: DataFrame, depth: int = 7
         if front.isEmpty():
             break
     return out.drop("place")
+
+
+def flow_statistics(flows: DataFrame) -> DataFrame:
+    """(what, value, n) of flows(source, sink, category, length): flows, different sources, sinks and pairs, and how many flows have
+    each length and category."""
+    total = flows.agg(F.count("*").alias("flows"), F.countDistinct("source").alias("sources"), F.countDistinct("sink").alias("sinks"), F.countDistinct("source", "sink").alias("pairs"))
+    rows = total.unpivot([], ["flows", "sources", "sinks", "pairs"], "what", "n").select("what", F.lit("").alias("value"), "n")
+    each = flows.select(F.explode(F.array(F.struct(F.lit("length").alias("what"), F.col("length").cast("string").alias("value")), F.struct(F.lit("category").alias("what"), F.col("category").alias("value")))).alias("k"))
+    return rows.unionByName(each.groupBy("k.what", "k.value").agg(F.count("*").alias("n")))
+
+
+def counts_by_limit(calls: DataFrame, level: DataFrame, limits: list[int]) -> DataFrame:
+    """(depth, level, nodes, mean, least, median, most): how many paths down to each of the depth limits nodes have, by their level."""
+    out = None
+    for depth in limits:
+        own = level.select("node", F.lit(1).alias("lines"))
+        counts = limited_totals(calls, own, depth).join(level, "node")
+        one = counts.groupBy("level").agg(F.count("*").alias("nodes"), F.avg("lines").alias("mean"), F.min("lines").alias("least"), F.median("lines").alias("median"), F.max("lines").alias("most")).withColumn("depth", F.lit(depth))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -350,4 +350,4 @@ def pricing_summary(spark, d):
     return t.table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.count("*").alias("n"))
 
 
-from .suite import artifacts, changes, code, matching, modules, profiles, scalars, searches, selection, sinks, stores, streams, trees, triage  # noqa: E402, F401 - they add their queries
+from .suite import artifacts, changes, code, details, matching, modules, profiles, scalars, searches, selection, sinks, stores, streams, trees, triage  # noqa: E402, F401 - they add their queries

@@ -45,3 +45,19 @@ def changed_lines(lines: DataFrame) -> DataFrame:
     ahead = F.coalesce(F.count_if(~F.col("value").startswith("-")).over(h), F.lit(0))
     kind = F.when(F.col("value").startswith("+"), "added").when(F.col("value").startswith("-"), "removed")
     return body.withColumn("line", F.col("start") + ahead).withColumn("kind", kind).where("kind IS NOT NULL").select("diff", "file", "line", "kind")
+
+
+def hunks(lines: DataFrame) -> DataFrame:
+    """(diff, file, hunk, old_first, old_last, new_first, new_last) of unified diffs given as lines(diff, pos, value).
+
+    Hunks are numbered from 1 within a diff. A side without lines (a length of 0) ends one line before it begins.
+    """
+    w = Window.partitionBy("diff").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.col("value")
+    file = F.last(F.when(value.startswith("+++ "), F.regexp_replace(value, r"^\+\+\+ (?:b/)?", "")), ignorenulls=True).over(w)
+    head = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    part = lambda i: F.nullif(F.regexp_extract(value, head, i), F.lit("")).cast("int")
+    found = lines.select("diff", "pos", "value", file.alias("file"), F.count_if(value.rlike(head)).over(w).cast("int").alias("hunk")).where(value.rlike(head))
+    side = lambda i: (part(i), part(i) + F.coalesce(part(i + 1), F.lit(1)) - 1)
+    (a, z), (b, y) = side(1), side(3)
+    return found.select("diff", "file", "hunk", a.alias("old_first"), z.alias("old_last"), b.alias("new_first"), y.alias("new_last"))
