@@ -90,13 +90,22 @@ def phrases(queries: DataFrame, stems: bool = True, whole: bool = True) -> DataF
     return terms_of(each.select("q", "phrase", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")), stems)
 
 
-def found(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """(q, phrase, id, tf): how often the words of each phrase of wanted stand side by side in one field."""
+def keyed(wanted: DataFrame) -> DataFrame:
+    """(q, phrase, key) of phrases: equal phrases of whatever queries have one key, which is looked up once."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"])  # a phrase's own
+    return wanted.groupBy("q", "phrase").agg(F.array_join(words, " ").alias("key"))
+
+
+def found(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(key, id, tf): how often the words of each of keys(key) stand side by side in one field."""
+    terms = F.split("key", " ")
+    wanted = keys.select("key").distinct().select("key", F.size(terms).alias("size"), F.posexplode(terms).alias("at", "term")).checkpoint()
     buckets = [r["b"] for r in wanted.select(bucket_of().alias("b")).distinct().collect()]  # BUCKETS at most
     hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets)).join(_small(wanted), "term")
     hits = hits.join(current(spark, path).select("id", "gen"), ["id", "gen"], "left_semi")
-    starts = hits.groupBy("q", "phrase", "size", "id", "field", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
-    return starts.groupBy("q", "phrase", "id").agg(F.count("*").alias("tf"))
+    single = hits.where("size = 1").groupBy("key", "id").agg(F.count("*").alias("tf"))
+    starts = hits.where("size > 1").groupBy("key", "size", "id", "field", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
+    return single.unionByName(starts.groupBy("key", "id").agg(F.count("*").alias("tf")))
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, entries: DataFrame, k: int, where: Column | None = None, stems: bool = True, whole: bool = True) -> DataFrame:
@@ -107,15 +116,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, entries: DataFram
     ties by id.
     """
     scratch.checkpoints(spark)
-    hits = found(spark, path, phrases(queries, stems, whole).checkpoint()).checkpoint()
-    frequency = hits.groupBy("q", "phrase").agg(F.count("*").alias("df"))
+    asked = keyed(phrases(queries, stems, whole)).checkpoint()
+    hits = found(spark, path, asked).checkpoint()
+    frequency = hits.groupBy("key").agg(F.count("*").alias("df"))
     lengths = current(spark, path)
     size = F.broadcast(lengths.agg(F.count("*").alias("total"), F.avg("n").alias("mean")))  # one row
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(1e-6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    each = hits.join(frequency, ["q", "phrase"]).join(lengths.select("id", "n"), "id").crossJoin(size)
-    scores = each.groupBy("q", "id").agg(F.sum(part).alias("score"))
+    weighed = hits.join(frequency, "key").join(lengths.select("id", "n"), "id").crossJoin(size).select("key", "id", part.alias("part"))
+    scores = weighed.join(_small(asked), "key").groupBy("q", "id").agg(F.sum("part").alias("score"))
     if where is not None:
         scores = scores.join(entries, "id").join(_small(queries.drop("query")), "q").where(where).select("q", "id", "score")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "id"))

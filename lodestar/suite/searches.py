@@ -128,5 +128,5 @@ def search_inspector(spark, d):
     entries = _entries(spark, d)
     fulltext.add(spark, path, entries, ["details"], 1, stems=False)
     wanted = spark.createDataFrame([(0, "the")], "q int, query string")
-    hit = fulltext.found(spark, path, fulltext.phrases(wanted, stems=False)).select("id").distinct().withColumn("hit", F.lit(1))
+    hit = fulltext.found(spark, path, fulltext.keyed(fulltext.phrases(wanted, stems=False))).select("id").distinct().withColumn("hit", F.lit(1))
     return entries.where("lang IN ('en', 'de') AND file_path LIKE 'src/src1%'").join(hit, "id", "left").groupBy("source", "lang").agg(F.count("*").alias("entries"), F.count("hit").alias("found"))
