@@ -11,28 +11,38 @@ MOST_TOKENS = 6  # of a definition
 LONGEST = 10  # tokens of a symbol that count
 
 
+def _subsets(tokens: Column, most: int) -> Column:
+    """The subsets of one to `most` of the tokens, each in their order."""
+    picks = F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(tokens)) - 1), lambda m: F.bit_count(m) <= most)
+    return F.transform(picks, lambda m: F.filter(tokens, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+
+
 def best_definitions(symbols: DataFrame, definitions: DataFrame) -> DataFrame:
     """(symbol, key, overlap, size) for each of symbols(symbol) that some of definitions(key, place) matches.
 
     Definitions are gone through by place; one takes the place of the best so far only if it shares more tokens and also
-    has more tokens. Definitions of over MOST_TOKENS tokens are left out. Of all definitions with equal overlap and
-    size only the first can ever be taken: if it was refused, what was best then refuses the others too, and if it was taken,
-    they do not exceed it. So a symbol has at most LONGEST * MOST_TOKENS candidates, which are found by partial minima, and
-    only these are gone through in order.
+    has more tokens. Definitions of over MOST_TOKENS tokens are left out.
+
+    Only the first definition of each size that shares at least so many tokens with a symbol can ever be taken: had a later
+    one of that size been better than the best so far, so would have been the first, and after it the size no longer grows. So each
+    subset of a definition's tokens keeps its first definition of each size, a symbol looks up the subsets of its own
+    tokens, and the few that come of it are gone through in order. A token that all of them have makes no more rows
+    than any other.
     """
-    asked = symbols.select("symbol").distinct().select("symbol", F.explode(fn.longest_tokens(F.col("symbol"), LONGEST)).alias("token"))
-    tokens = F.array_distinct(fn.symbol_tokens(F.col("key")))
-    first = definitions.select(F.array_sort(tokens).alias("tokens"), "key", "place").where(F.size("tokens").between(1, MOST_TOKENS))
-    first = first.groupBy("tokens").agg(F.min(F.struct("place", "key")).alias("first"))  # equal token sets: only the first
-    offered = first.select("first", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    overlaps = asked.join(offered, "token").groupBy("symbol", "first", "size").agg(F.count("*").cast("int").alias("overlap"))
-    few = overlaps.groupBy("symbol", "overlap", "size").agg(F.min("first").alias("first"))
-    ordered = few.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("first", "overlap", "size"))).alias("all"))
+    asked = symbols.select("symbol").distinct().select("symbol", F.explode(_subsets(F.array_sort(fn.longest_tokens(F.col("symbol"), LONGEST)), MOST_TOKENS)).alias("part"))
+    tokens = F.array_sort(F.array_distinct(fn.symbol_tokens(F.col("key"))))
+    known = definitions.select(tokens.alias("tokens"), F.struct("place", "key").alias("first")).where(F.size("tokens").between(1, MOST_TOKENS))
+    known = known.groupBy("tokens").agg(F.min("first").alias("first"))  # equal token sets: only the first
+    offered = known.select("first", F.size("tokens").alias("size"), F.explode(_subsets(F.col("tokens"), MOST_TOKENS)).alias("part"))
+    offered = offered.groupBy("part", "size").agg(F.min("first").alias("first"))
+    few = asked.join(offered, "part").groupBy("symbol", F.size("part").alias("overlap"), "size").agg(F.min("first").alias("first"))
+    once = few.groupBy("symbol", "first", "size").agg(F.max("overlap").alias("overlap"))  # what it shares is the most it was found by
+    ordered = once.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("first", "overlap", "size"))).alias("all"))
 
     def better(best: Column, x: Column) -> Column:
         return F.when(best.isNull() | ((x["overlap"] > best["overlap"]) & (x["size"] > best["size"])), x).otherwise(best)
 
-    kind = few.select(F.struct("first", "overlap", "size").alias("s")).schema["s"].dataType
+    kind = once.select(F.struct("first", "overlap", "size").alias("s")).schema["s"].dataType
     best = ordered.select("symbol", F.aggregate("all", F.lit(None).cast(kind), better).alias("b"))
     return best.select("symbol", F.col("b.first.key").alias("key"), "b.overlap", "b.size")
 
