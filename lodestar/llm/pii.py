@@ -165,11 +165,18 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["first"], s["last"])), ",")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    """How many of a kind. F.filter gives a function of two parameters each element's index as the second, defaults included."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     each = identified(docs)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return each.select("doc_id", *counts, F.sha2(_text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [_count(base, k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return each.select("doc_id", *counts, F.sha2(_text(base), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"), added)
 
 
 ORACLE: dict[str, str] = {}

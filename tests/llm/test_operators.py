@@ -286,6 +286,16 @@ def test_pii(spark, docs, none):
     assert pii.identified(none).count() == 0 and pii.identified(docs).count() == len(ROWS)
 
 
+def test_pii_counts_are_those_of_the_base(spark, tmp_path):
+    rows = [(1, "a@b.cd"), (2, "a@b.cd e@f.gh i@j.kl"), (3, "1.2.3.4 5.6.7.8 then +1 (555) 010-9999"), (4, None), (5, "4111 1111 1111 1111")]
+    rows += [(i, f"zz reach: +1 (555) 010-{1000 + i} yy") for i in range(20, 30)] + [(40, "zz reach: (555) 010-4444 yy")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in pii.op1_pii(spark, str(tmp_path)).collect()}
+    counts = {i: [r[f"n_{k}"] for k in pii.KINDS] for i, r in got.items()}
+    assert [counts[i] for i in (1, 2, 3, 4, 5, 20)] == [[1, 0, 0, 0], [3, 0, 0, 0], [0, 2, 0, 1], [0, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    assert counts[40] == [0, 0, 0, 0] and got[40]["n_added"] == 1 and got[40]["spans"] == "phone:10:24"  # an added span leaves the base as it is
+
+
 def test_pii_rounds_go_on(spark):
     # link n shares the word before with one of its neighbours in the chain and the word after with the other
     rows = [f"aa: +1 (555) 010-{1000 + i}" for i in range(13)]
