@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..plans import scratch
 
 PAGE = 1_000
 
@@ -34,3 +37,13 @@ def paged(spark: SparkSession, url: str, name: str, key: str, page: int = PAGE,
         ranges += [f"{key} >= {_literal(a)} AND {key} < {_literal(z)}" for a, z in zip(starts[1:], starts[2:], strict=False)]
         ranges.append(f"{key} >= {_literal(starts[-1])}")
     return spark.read.jdbc(url, name, predicates=ranges, properties=options)
+
+
+def numbered(table: DataFrame, key: str, page: int = PAGE) -> DataFrame:
+    """table with `page`, from 0 in the key's order, for tables in storage that all executors share.
+
+    Pages have about `page` rows. As in paged(), rows of one key stay in one page and rows without a key come first.
+    """
+    at = scratch.ranked(table, [F.asc_nulls_first(key)], "_at")
+    first = F.min("_at").over(Window.partitionBy(key))
+    return at.withColumn("page", F.floor(first / page)).drop("_at")
