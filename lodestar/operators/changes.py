@@ -115,12 +115,15 @@ def resolved(names: DataFrame, registry: DataFrame) -> DataFrame:
 
 def by_keywords(left: DataFrame, right: DataFrame) -> DataFrame:
     """left(id, file, words) with the right(name, file, words) of the same file that shares most words, at least one, the
-    first by name of equals: id, name, overlap. Only rows that share a word meet."""
-    a = left.select("id", "file", F.explode(F.array_distinct("words")).alias("w"))
-    b = right.select("name", "file", F.explode(F.array_distinct("words")).alias("w"))
-    both = a.join(b, ["file", "w"]).groupBy("id", "name").agg(F.count("*").alias("overlap"))
-    best = both.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("k"), "name")).alias("_b"))
-    return best.select("id", F.col("_b.name").alias("name"), (-F.col("_b.k")).alias("overlap"))
+    first by name of equals: id, name, overlap. Only different sets of words of a file that share a word meet: rows of
+    one set get the same answer, and of equal sets on the right only the first name can be taken."""
+    words = F.array_sort(F.array_distinct("words"))
+    a = left.select("id", "file", words.alias("_a"))
+    b = right.groupBy("file", words.alias("_b")).agg(F.min("name").alias("name"))
+    both = a.select("file", "_a").distinct().withColumn("_w", F.explode("_a")).join(b.withColumn("_w", F.explode("_b")), ["file", "_w"])
+    shared = both.groupBy("file", "_a", "_b").agg(F.count("*").alias("overlap"), F.first("name").alias("name"))
+    best = shared.groupBy("file", "_a").agg(F.min(F.struct((-F.col("overlap")).alias("k"), "name")).alias("_m"))
+    return a.join(best, ["file", "_a"]).select("id", F.col("_m.name").alias("name"), (-F.col("_m.k")).alias("overlap"))
 
 
 def continuous(lines: DataFrame, key: str, order: str, number: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """What used to grow faster than the input: the same results as plain Python, on inputs with many equal rows."""
 
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.operators import changes
 from lodestar.plans import scratch
 from lodestar.sources import pages
 
@@ -20,3 +23,20 @@ def test_pages_of_a_stored_table(spark):
         order = sorted(keys, key=lambda k: (k is not None, k or 0))
         assert got == sorted(((order.index(k) // size, k, v) for v, k in enumerate(keys)), key=str)
     assert pages.numbered(df.where("false"), "k").count() == 0
+
+
+def test_keyword_matches_of_equal_rows(spark):
+    rng = random.Random(1)
+    row = lambda i: (i, rng.choice("xy"), [rng.choice("abcdefg") for _ in range(rng.randrange(5))])
+    left, right = [row(i) for i in range(80)], [row(i) for i in range(60)]
+    want = {}
+    for i, f, w in left:
+        best = min(((-len({*w} & {*v}), n) for n, g, v in right if g == f and {*w} & {*v}), default=None)
+        if best:
+            want[i] = (best[1], -best[0])
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, file string, words array<string>")
+    got = changes.by_keywords(frame(left, "id"), frame(right, "name")).collect()
+    assert {r["id"]: (r["name"], r["overlap"]) for r in got} == want and len(got) == len(want)
+    many = spark.range(200_000).select("id", F.lit("x").alias("file"), F.array(F.lit("a"), F.lit("b")).alias("words"))  # 80 billion pairs if each row met each
+    got = changes.by_keywords(many, many.withColumnRenamed("id", "name")).groupBy("name", "overlap").count().collect()
+    assert [r[:] for r in got] == [(0, 2, 200_000)]
