@@ -111,11 +111,14 @@ def found(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 def search(spark: SparkSession, path: str, queries: DataFrame, entries: DataFrame, k: int, where: Column | None = None, stems: bool = True, whole: bool = True) -> DataFrame:
     """The k best entries of each of queries(q, query, ...): q, id, score, rank, by BM25 over phrases and all fields together.
 
-    Any of a query's phrases will do. Words, lengths and frequencies are those of the whole index; `where`, a condition
+    Queries that are equal but for q are answered once. Any of a query's phrases will do. Words, lengths and frequencies are those of the whole index; `where`, a condition
     on the columns of queries and entries(id, ...), is applied before the k best are taken. Scores are ranked to six decimals,
     ties by id.
     """
     scratch.checkpoints(spark)
+    alike = Window.partitionBy(*[c for c in queries.columns if c != "q"])
+    members = queries.withColumn("_c", F.min("q").over(alike)).checkpoint()
+    queries = members.where("q = _c").drop("_c")
     asked = keyed(phrases(queries, stems, whole)).checkpoint()
     hits = found(spark, path, asked).checkpoint()
     frequency = hits.groupBy("key").agg(F.count("*").alias("df"))
@@ -129,4 +132,5 @@ def search(spark: SparkSession, path: str, queries: DataFrame, entries: DataFram
     if where is not None:
         scores = scores.join(entries, "id").join(_small(queries.drop("query")), "q").where(where).select("q", "id", "score")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = scores.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("q", "_c")
+    return best.join(members.select("q", "_c"), "_c").select("q", "id", "score", "rank")

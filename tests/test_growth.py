@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes
+from lodestar.operators import changes, fulltext
 from lodestar.plans import scratch
 from lodestar.sources import pages
 
@@ -40,3 +40,13 @@ def test_keyword_matches_of_equal_rows(spark):
     many = spark.range(200_000).select("id", F.lit("x").alias("file"), F.array(F.lit("a"), F.lit("b")).alias("words"))  # 80 billion pairs if each row met each
     got = changes.by_keywords(many, many.withColumnRenamed("id", "name")).groupBy("name", "overlap").count().collect()
     assert [r[:] for r in got] == [(0, 2, 200_000)]
+
+
+def test_equal_queries_are_answered_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    entries = spark.range(300).select("id", F.concat(F.lit("word w"), F.col("id") % 7).alias("body"))
+    fulltext.add(spark, path, entries, ["body"], 1, stems=False)
+    asked = spark.range(2000).select(F.col("id").alias("q"), F.when(F.col("id") < 1990, "word").otherwise("word w3").alias("query"))
+    found = fulltext.search(spark, path, asked, entries, 2, stems=False, whole=False)
+    got = {r["q"]: r["ids"] for r in found.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids")).collect()}
+    assert got == {q: [0, 1] if q < 1990 else [3, 10] for q in range(2000)}
