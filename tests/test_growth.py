@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes, fulltext
+from lodestar.operators import changes, fulltext, matching
 from lodestar.plans import scratch
 from lodestar.sources import pages
 
@@ -42,6 +42,22 @@ def test_keyword_matches_of_equal_rows(spark):
     assert [r[:] for r in got] == [(0, 2, 200_000)]
 
 
+def test_candidates_are_counted_by_what_they_name(spark):
+    rng = random.Random(2)
+    rows = sorted({(rng.choice(["file", "function"]), rng.choice("abcd"), rng.randrange(60)) for _ in range(130)})
+    asked = [r for r in rows if r[2] % 10 == 0]
+    want = {}
+    for k, n, q in asked:
+        for j, m, i in rows:
+            if (k, n) == (j, m) and i != q:
+                want.setdefault((q, i), [0, 0])[k == "function"] += 1
+    index = spark.createDataFrame(rows, "kind string, name string, id int")
+    found = matching.candidates(spark.createDataFrame(asked, "kind string, name string, q int"), index)
+    assert {(r["q"], r["id"]): [r["files"], r["functions"]] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan  # pairs are not brought together again
+
+
 def test_equal_queries_are_answered_once(spark, tmp_path):
     path = str(tmp_path / "index")
     entries = spark.range(300).select("id", F.concat(F.lit("word w"), F.col("id") % 7).alias("body"))
