@@ -13,13 +13,14 @@ from ..plans import scratch
 
 #: Names that mark a frame without a function.
 UNKNOWN = ("", "???", "<root>", "<unnamed>")
+ROWS = 10_000  # of a batch of paths
 PATHS = "tree string, leaf int, path array<string>, cost array<bigint>, share array<double>, owner array<string>, source array<string>"
 
 
-def tree_paths(trees: DataFrame) -> DataFrame:
+def tree_paths(trees: DataFrame, number: int | None = None) -> DataFrame:
     """trees(tree, body), body a nested profile {frameName, value, ownerName, sourcePath, children[]} as JSON: a row per
-    leaf-to-root path, with the number of its leaf, children in order. A walk with its own stack, so that depth is not bounded
-    by Python's."""
+    leaf-to-root path, with the number of its leaf, children in order; with `number` that leaf alone. A walk with its own stack,
+    so that depth is not bounded by Python's. Paths of many trees go out together, ROWS at most."""
 
     def walked(root: dict) -> Iterator[tuple]:
         whole = root.get("value") or 0
@@ -36,10 +37,20 @@ def tree_paths(trees: DataFrame) -> DataFrame:
     def run(batches):
         kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.string())]
         names = ["tree", "leaf", "path", "cost", "share", "owner", "source"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for b in batches:
+            rows = []
             for tree, body in zip(b.column("tree").to_pylist(), b.column("body").to_pylist(), strict=True):
-                rows = [(tree, i, *p) for i, p in enumerate(walked(json.loads(body)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                for i, p in enumerate(walked(json.loads(body))):
+                    if number is None or i == number:
+                        rows.append((tree, i, *p))
+                    if len(rows) >= ROWS:
+                        yield made(rows)
+                        rows = []
+                    if i == number:
+                        break
+            if rows:
+                yield made(rows)
 
     return trees.select("tree", "body").mapInArrow(run, PATHS)
 
@@ -56,7 +67,7 @@ def array_frames(docs: DataFrame, json: str) -> DataFrame:
 
 def path_at(trees: DataFrame, number: int) -> DataFrame:
     """The path of leaf `number` (from 0) of each tree that has so many."""
-    return tree_paths(trees).where(F.col("leaf") == number)
+    return tree_paths(trees, number)
 
 
 def of_interest(owner: Column, owners: list[str]) -> Column:

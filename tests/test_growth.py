@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes, fulltext, matching
+from lodestar.operators import changes, fulltext, matching, traces
 from lodestar.plans import scratch
 from lodestar.sources import pages
 
@@ -58,6 +58,14 @@ def test_candidates_are_counted_by_what_they_name(spark):
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan  # pairs are not brought together again
 
 
+def test_paths_of_many_trees(spark):
+    trees = [(str(i), '{"frameName":"r","value":3,"children":[' + ",".join('{"frameName":"c%d","value":1}' % j for j in range(i % 4)) + "]}") for i in range(50)]
+    df = spark.createDataFrame(trees, "tree string, body string")
+    got = {(r["tree"], r["leaf"], r["path"][0]) for r in traces.tree_paths(df).collect()}
+    assert got == {(str(i), j, f"c{j}" if i % 4 else "r") for i in range(50) for j in range(max(1, i % 4))}
+    assert {(r["tree"], r["path"][0]) for r in traces.tree_paths(df, 2).collect()} == {(str(i), "c2") for i in range(50) if i % 4 == 3}
+
+
 def test_equal_queries_are_answered_once(spark, tmp_path):
     path = str(tmp_path / "index")
     entries = spark.range(300).select("id", F.concat(F.lit("word w"), F.col("id") % 7).alias("body"))
