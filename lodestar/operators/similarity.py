@@ -28,43 +28,82 @@ def match_class(score: Column) -> Column:
 
 
 #: Queries whose vectors go to every task; more of them are taken in blocks of this size.
-BLOCK = 2_000
+BLOCK = 8_192
+#: Scores that a task holds at once.
+CELLS = 1 << 18
+
+
+class _Best:
+    """The `most` best (score, id) of each query so far, ties by id. Only what can still be among them is kept, CELLS or so at once."""
+
+    def __init__(self, queries: int, most: int):
+        self.most, self.least, self.parts, self.n = most, np.full(queries, -1), [], 0
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        near = rounded(score)
+        row, col = np.nonzero(near >= self.least[:, None])
+        self.parts.append((row, near[row, col], ids[col], score[row, col]))
+        self.n += len(row)
+        if self.n > CELLS // 4:
+            self.kept()
+
+    def kept(self) -> tuple:
+        row, near, ids, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -near, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, place = order[place < self.most], row[place < self.most], place[place < self.most]
+        last = place == self.most - 1
+        self.least[row[last]] = near[order][last]
+        self.parts, self.n = [(row, near[order], ids[order], score[order])], 0
+        return self.parts[0]
+
+
+def rounded(score: np.ndarray) -> np.ndarray:
+    """Scores of twelve decimals as whole billionths, halves up as Spark rounds them."""
+    return (np.rint(score * 1e12).astype(np.int64) + 500) // 1000
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, turned: bool = False) -> DataFrame:
     """For queries(q, v) the k rows of corpus(id, u) most alike, all rows compared: q, id, score, rank.
 
-    The corpus stays where it is. Blocks of BLOCK queries are sent to its partitions, where a product of matrices
-    scores them and each partition keeps its k best of each query; only those are shuffled. With turned=True it is
+    The corpus stays where it is. Blocks of BLOCK queries are sent to its partitions, where products of matrices of at most CELLS
+    numbers score them and each partition keeps its k best of each query; only those are shuffled. With turned=True it is
     each corpus row that gets its k best queries. Scores are ranked to nine decimals, ties by id.
     """
     kinds = {"q": queries.schema["q"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
-    named = to_arrow_type(queries.schema["q"].dataType)
+    q_kind, id_kind = to_arrow_type(queries.schema["q"].dataType), to_arrow_type(corpus.schema["id"].dataType)
     spark, by, tie = queries.sparkSession, ("id", "q") [not turned], ("q", "id")[not turned]
+    most = k + 1  # one more than k: a row may meet itself
 
-    def matrix(lists: pa.Array) -> np.ndarray:
-        m = np.array(lists.to_pylist(), float)
+    def matrix(lists: list) -> np.ndarray:
+        m = np.array(lists, float)
         norm = np.sqrt((m * m).sum(1, keepdims=True))
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
     out = None
     rows = queries.select("q", "v").toLocalIterator()
     while block := [r for _, r in zip(range(BLOCK), rows)]:  # noqa: B905 - ends with the shorter
-        names = [r["q"] for r in block]
-        shared = spark.sparkContext.broadcast((names, matrix(pa.array([r["v"] for r in block]))))
+        block.sort(key=lambda r: r["q"])
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in block]), matrix([r["v"] for r in block])))
 
         def run(batches, shared=shared):
             names, left = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                score = np.round(1 - np.clip(1 - left @ matrix(b.column("u")).T, 0, 2) / 2, 12)
-                score = score.T if turned else score
-                most = min(k + 1, score.shape[1])  # one more than k: a row may meet itself
-                least = np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most]
-                row, col = np.nonzero(score >= least[:, None])  # ties at the end included
-                i, j = (col, row) if turned else (row, col)
-                yield pa.RecordBatch.from_arrays([pa.array(names, named).take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(score[row, col])], ["q", "id", "score"])
+            wide, best = max(1, CELLS // len(names)), _Best(len(names), most)
+            row = lambda q, i, s: pa.RecordBatch.from_arrays([pa.array(q.tolist(), q_kind), pa.array(i.tolist(), id_kind), pa.array(s)], ["q", "id", "score"])
+            for b in (b.slice(at, wide) for b in batches for at in range(0, b.num_rows, wide)):
+                ids = np.array(b.column("id").to_pylist())
+                score = np.round(1 - np.clip(1 - left @ matrix(b.column("u").to_pylist()).T, 0, 2) / 2, 12)
+                if turned:
+                    n = len(names)
+                    place = rounded(score) * n + np.arange(n - 1, -1, -1)[:, None]  # different for each query; ties by q
+                    j = np.argpartition(place, max(0, n - most), axis=0)[max(0, n - most) :]
+                    yield row(names[j].ravel(), np.tile(ids, len(j)), np.take_along_axis(score, j, 0).ravel())
+                else:
+                    best.add(score, ids)
+            if best.parts:
+                at, _, ids, score = best.kept()
+                yield row(names[at], ids, score)
 
         got = corpus.select("id", "u").mapInArrow(run, f"q {kinds['q']}, id {kinds['id']}, score double")
         out = got if out is None else out.unionByName(got)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes, fulltext, matching, traces
+from lodestar.operators import changes, fulltext, matching, similarity, traces
 from lodestar.plans import scratch
 from lodestar.sources import pages
 
@@ -58,6 +59,35 @@ def test_candidates_are_counted_by_what_they_name(spark):
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan  # pairs are not brought together again
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_nearest_with_many_copies(spark, monkeypatch, turned):
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(-2, 3, (12, 4)).astype(float)
+    rows = [(int(i), [float(x) for x in kinds[rng.integers(12)]]) for i in rng.permutation(400)]
+    asked = [r for r in rows if r[0] % 10 == 0]
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    got = similarity.top_k(spark.createDataFrame(asked, "q long, v array<double>"), spark.createDataFrame(rows, "id long, u array<double>"), 3, turned=turned).collect()
+
+    def like(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(1 - (1 - (float(np.dot(a, b)) / n if n else 0.0)) / 2, 9)
+
+    want = set()
+    for a, v in rows if turned else asked:
+        near = sorted((-like(v, u), b) for b, u in (asked if turned else rows) if a != b)[:3]
+        want |= {(b, a, i + 1) if turned else (a, b, i + 1) for i, (_, b) in enumerate(near)}
+    assert {(r["q"], r["id"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_best_so_far_stays_small():
+    best = similarity._Best(50, 4)
+    for i in range(60):
+        best.add(np.full((50, 2000), 0.5), np.arange(2000)[::-1] + 2000 * (59 - i))  # copies, the least id last
+        assert best.n <= similarity.CELLS
+    row, _, ids, _ = best.kept()
+    assert len(row) == 200 and set(ids.tolist()) == {0, 1, 2, 3}
+
+
 def test_paths_of_many_trees(spark):
     trees = [(str(i), '{"frameName":"r","value":3,"children":[' + ",".join('{"frameName":"c%d","value":1}' % j for j in range(i % 4)) + "]}") for i in range(50)]
     df = spark.createDataFrame(trees, "tree string, body string")
