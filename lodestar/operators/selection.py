@@ -99,12 +99,15 @@ def current_checksums(places: DataFrame, lines: DataFrame) -> DataFrame:
 # diffs as lines(diff, pos, value)
 
 
-def diff_files(lines: DataFrame) -> DataFrame:
-    """lines with `file`, that of the section they stand in: its new name in the header, or in the line with +++."""
+def _header() -> Column:
     value = F.col("value")
-    header = F.when(value.startswith("diff --git"), F.regexp_extract(value, r"^diff --git\s+\S+\s+b?/?(\S+)", 1)).when(value.startswith("+++ "), F.regexp_replace(F.trim(F.substr(value, F.lit(5))), "^b/", ""))
+    return F.when(value.startswith("diff --git"), F.regexp_extract(value, r"^diff --git\s+\S+\s+b?/?(\S+)", 1)).when(value.startswith("+++ "), F.regexp_replace(F.trim(F.substr(value, F.lit(5))), "^b/", ""))
+
+
+def diff_files(lines: DataFrame, header: Column | None = None) -> DataFrame:
+    """lines with `file`, that of the section they stand in: its new name in the header, or in the line with +++."""
     over = Window.partitionBy("diff").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("file", F.last(header, ignorenulls=True).over(over))
+    return lines.withColumn("file", F.last(_header() if header is None else header, ignorenulls=True).over(over))
 
 
 def diff_of_files(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -123,7 +126,8 @@ def diff_sizes(lines: DataFrame, least: int = 0) -> DataFrame:
     """(diff, file, size): characters of added and removed lines of each file, those of at least `least`, by size, largest first."""
     value = F.col("value")
     changed = value.rlike("^[+-]") & ~value.rlike(r"^(\+\+\+|---) ")
-    size = diff_files(lines).where(changed).groupBy("diff", "file").agg(F.sum(F.length(value)).alias("size"))
+    short = lines.select("diff", "pos", _header().alias("_h"), F.when(changed, F.length(value)).alias("_n")).where("_h IS NOT NULL OR _n IS NOT NULL")
+    size = diff_files(short, F.col("_h")).where("_n IS NOT NULL").groupBy("diff", "file").agg(F.sum("_n").alias("size"))
     return size.where(F.col("size") >= least).orderBy(F.desc("size"), "diff", "file")
 
 

@@ -57,7 +57,8 @@ def hunks(lines: DataFrame) -> DataFrame:
     file = F.last(F.when(value.startswith("+++ "), F.regexp_replace(value, r"^\+\+\+ (?:b/)?", "")), ignorenulls=True).over(w)
     head = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     part = lambda i: F.nullif(F.regexp_extract(value, head, i), F.lit("")).cast("int")
-    found = lines.select("diff", "pos", "value", file.alias("file"), F.count_if(value.rlike(head)).over(w).cast("int").alias("hunk")).where(value.rlike(head))
+    heads = lines.where(value.startswith("+++ ") | value.rlike(head))  # no other line tells a file or a hunk
+    found = heads.select("diff", "pos", "value", file.alias("file"), F.count_if(value.rlike(head)).over(w).cast("int").alias("hunk")).where(value.rlike(head))
     side = lambda i: (part(i), part(i) + F.coalesce(part(i + 1), F.lit(1)) - 1)
     (a, z), (b, y) = side(1), side(3)
     return found.select("diff", "file", "hunk", a.alias("old_first"), z.alias("old_last"), b.alias("new_first"), y.alias("new_last"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords
 from ..operators import selection, store
+from ..plans import scratch
 from ..plans import stand_ins as t
 from ..registry import query
 
@@ -105,6 +106,7 @@ x AS (SELECT *, 'm' || (l_suppkey % 5) || '/s' || l_suppkey || '.' || ['c', 'md'
 
 def _diffs(spark, d):
     item = t.table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity").withColumn("q", F.col("l_quantity").cast("long"))
+    item = scratch.dealt(item, "l_orderkey")  # an item makes six lines
     listed = item.groupBy(F.col("l_orderkey").alias("diff")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "q"))).alias("l"))
     file = lambda x: F.concat(F.lit("m"), x["l_suppkey"] % 5, F.lit("/s"), x["l_suppkey"], F.lit("."), F.get(F.array(*[F.lit(e) for e in ENDINGS]), (x["l_suppkey"] % 4).cast("int")))
     section = lambda x: F.array(F.concat(F.lit("diff --git a/"), file(x), F.lit(" b/"), file(x)), F.concat(F.lit("--- a/"), file(x)), F.concat(F.lit("+++ b/"), file(x)), F.concat(F.lit("@@ -1 +"), x["q"], F.lit(" @@")), F.concat(F.lit("-"), x["l_partkey"]), F.concat(F.lit("+"), F.repeat(F.lit("x"), x["q"].cast("int"))))

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import changes, fulltext, matching, similarity, traces
+from lodestar.operators import changes, fulltext, matching, selection, similarity, traces
 from lodestar.plans import scratch
-from lodestar.sources import pages
+from lodestar.sources import files, pages
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -104,3 +104,22 @@ def test_equal_queries_are_answered_once(spark, tmp_path):
     found = fulltext.search(spark, path, asked, entries, 2, stems=False, whole=False)
     got = {r["q"]: r["ids"] for r in found.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids")).collect()}
     assert got == {q: [0, 1] if q < 1990 else [3, 10] for q in range(2000)}
+
+
+def test_partitions_grow_with_the_rows(spark):
+    df = spark.range(10_000).select((F.col("id") % 700).alias("k"), "id")
+    got = scratch.dealt(df, "k", 500)
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("k").alias("k")).collect()
+    assert got.rdd.getNumPartitions() == 20 and sum(r["k"] for r in sizes) == 700 and sum(r["n"] for r in sizes) == 10_000
+
+
+def test_hunks_and_sizes_of_long_sections(spark):
+    text = ["diff --git a/x b/x", "--- a/x", "+++ b/x", "@@ -1,2 +3 @@", " same", "-gone", "+new", *["+" + "y" * 9] * 50, "@@ -70,0 +90,4 @@", "+z", "diff --git a/q b/q", "+++ b/q", "@@ -5 +6 @@", "-w"]
+    lines = spark.createDataFrame([(1, i, v) for i, v in enumerate(text)], "diff int, pos int, value string")
+    found = files.hunks(lines)
+    got = sorted((r["hunk"], r["file"], r["old_first"], r["old_last"], r["new_first"], r["new_last"]) for r in found.collect())
+    assert got == [(1, "x", 1, 2, 3, 3), (2, "x", 70, 69, 90, 93), (3, "q", 5, 5, 6, 6)]
+    assert {(r["file"], r["size"]) for r in selection.diff_sizes(lines).collect()} == {("x", 5 + 4 + 500 + 2), ("q", 2)}
+    logical = found._jdf.queryExecution().optimizedPlan().toString()
+    below = logical[logical.index("Window [") :]
+    assert "Filter" in below or "LocalRelation" in below  # lines without a header go before the window
