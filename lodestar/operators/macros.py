@@ -42,15 +42,16 @@ def closure(definitions: DataFrame, starts: DataFrame) -> DataFrame:
     """(macro, base, steps) of all that each of starts(macro) is derived from, over any number of definitions.
 
     A round follows one definition from what is new, until nothing is; rings end by themselves. steps is the least.
+    Sizes are guessed from compressed files, of which short names fill little, so that joins are told not to broadcast.
     """
     scratch.checkpoints(definitions.sparkSession)
     edges = definitions.select(F.col("macro").alias("_m"), F.col("base").alias("_b")).distinct().checkpoint()
-    front = starts.select("macro").distinct().join(edges, F.col("macro") == F.col("_m")).select("macro", F.col("_b").alias("base"), F.lit(1).alias("steps")).checkpoint()
+    front = starts.select("macro").distinct().join(edges.hint("merge"), F.col("macro") == F.col("_m")).select("macro", F.col("_b").alias("base"), F.lit(1).alias("steps")).checkpoint()
     seen = front
     steps = 1
     while not front.isEmpty():
         steps += 1
-        new = front.join(edges, F.col("base") == F.col("_m")).select("macro", F.col("_b").alias("base")).distinct().join(seen, ["macro", "base"], "left_anti")
+        new = front.join(edges.hint("merge"), F.col("base") == F.col("_m")).select("macro", F.col("_b").alias("base")).distinct().join(seen.hint("merge"), ["macro", "base"], "left_anti")
         front = new.withColumn("steps", F.lit(steps)).checkpoint()
         seen = seen.unionByName(front)
     return seen
