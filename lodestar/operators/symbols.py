@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..plans import scratch
 
 MOST_TOKENS = 6  # of a definition
 LONGEST = 10  # tokens of a symbol that count
+PIECES = 500_000  # parts of names that a task makes or joins
+FEW = 100_000  # names that are broadcast, counted before
 
 
 def _subsets(tokens: Column, most: int) -> Column:
@@ -53,27 +56,36 @@ def found_functions(calls: DataFrame, known: DataFrame) -> DataFrame:
 
     The third step looks up whole normalised names among each other's parts: of two names one holds the other only if
     the shorter one is a part of the longer, so that pieces are exploded on the side of the longer and compared by
-    equality; lengths that occur among the names limit the pieces.
+    equality; lengths that occur among the names limit the pieces. Pieces are counted before, and tasks are as many as they need.
     """
+    scratch.checkpoints(calls.sparkSession)
     names = calls.select("name").distinct().withColumn("norm", fn.normal_function(fn.bare_function(F.col("name"))))
     known = known.withColumn("norm", fn.normal_function(fn.bare_function(F.col("key"))))
     first = F.min(F.struct("place", "key")).alias("f")
     exact = known.groupBy(F.col("key").alias("name")).agg(first)
-    normal = known.groupBy("norm").agg(first)
-    got = names.join(exact, "name", "left").withColumnRenamed("f", "one").join(normal, "norm", "left").withColumnRenamed("f", "two")
+    normal = known.groupBy("norm").agg(first).checkpoint()
+    got = names.join(exact.hint("merge"), "name", "left").withColumnRenamed("f", "one").join(normal.hint("merge"), "norm", "left").withColumnRenamed("f", "two").checkpoint()
     open_ = got.where("one IS NULL AND two IS NULL AND norm <> ''").select("name", "norm")
     shorter = normal.where("norm <> ''")
-    inside = _parts(open_, shorter).join(shorter, "norm").select("name", "f")
-    held = _parts(shorter.withColumnRenamed("f", "name"), open_).groupBy("norm").agg(F.min("name").alias("f"))  # the first that holds each part
-    around = open_.join(held, "norm").select("name", "f")
+    inside = _parts(open_, shorter).select("name", "f")
+    held = _parts(shorter.withColumnRenamed("f", "name"), open_.select("norm").distinct()).groupBy("norm").agg(F.min("name").alias("f"))  # the first that holds each part
+    around = open_.join(held.hint("merge"), "norm").select("name", "f")
     three = inside.unionByName(around).groupBy("name").agg(F.min("f").alias("three"))
-    out = got.join(three, "name", "left")
+    out = got.join(three.hint("merge"), "name", "left")
     step = F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2).when(F.col("three").isNotNull(), 3)
     return out.select("name", F.coalesce("one.key", "two.key", "three.key").alias("key"), step.alias("step"))
 
 
 def _parts(longer: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(name, norm): the parts of each of longer(name, norm) that are as long as some of shorter(norm), and not the whole."""
+    """shorter(norm, ...) beside the name of each of longer(name, norm) that it is a part of, and not the whole; names and norms are
+    unique. The parts of a name of one length are made different in its own row, so that nothing is grouped for it."""
     sizes = F.broadcast(shorter.select(F.length("norm").alias("k")).distinct())  # as many rows as a name has letters
-    at = longer.join(sizes, F.length("norm") > F.col("k")).select("name", "norm", "k", F.explode(F.sequence(F.lit(1), F.length("norm") - F.col("k") + 1)).alias("i"))
-    return at.select("name", F.substr("norm", F.col("i"), F.col("k")).alias("norm")).distinct()
+    at = longer.join(sizes, F.length("norm") > F.col("k"))
+    pieces = at.agg(F.sum(F.length("norm") - F.col("k") + 1)).first()[0] or 0
+    least = scratch.partitions(longer.sparkSession)
+    tasks = max(least, -(-pieces // PIECES))
+    part = F.transform(F.sequence(F.lit(1), F.length("norm") - F.col("k") + 1), lambda i: F.substr("norm", i, F.col("k")))
+    every = at.repartition(tasks, "name", "k").select("name", F.explode(F.array_distinct(part)).alias("norm"))
+    if shorter.limit(FEW + 1).count() <= FEW:
+        return every.join(F.broadcast(shorter), "norm")
+    return every.repartition(tasks, "norm").join(shorter.hint("merge"), "norm")

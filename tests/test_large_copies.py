@@ -1,18 +1,17 @@
 """What large copies made slow or large: the same results as plain Python, and plans and tasks that grow with the rows."""
 
 import random
+import re
 
 import pytest
 
-from lodestar.operators import macros
+from lodestar.operators import macros, symbols
 from lodestar.plans import scratch
 
-
 @pytest.fixture(scope="module", autouse=True)
 def checkpoints(spark):
     scratch.checkpoints(spark)
 
-
 @pytest.fixture
 def plans(spark, monkeypatch):
     """The plans of what is checkpointed, as they ran."""
@@ -27,7 +26,6 @@ def plans(spark, monkeypatch):
     monkeypatch.setattr(kind, "checkpoint", checkpoint)
     return seen
 
-
 def test_macros_are_not_sent_to_the_driver(spark, plans):
     rng = random.Random(3)
     of = {i: {rng.randrange(40) for _ in range(rng.randrange(3))} for i in range(40)}
@@ -41,3 +39,23 @@ def test_macros_are_not_sent_to_the_driver(spark, plans):
     got = macros.closure(spark.createDataFrame([(f"m{a}", f"m{b}") for a in of for b in of[a]], "macro string, base string"), spark.createDataFrame([(f"m{s}",) for s in starts], "macro string"))
     assert {(r["macro"], r["base"]): r["steps"] for r in got.collect()} == {(f"m{a}", f"m{b}"): n for (a, b), n in want.items()} and got.count() == len(want)
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_parts_of_names_in_tasks_by_their_number(spark, monkeypatch, few):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    calls, known = [word(rng.randrange(1, 12)) for _ in range(120)] + ["", "(x)", "zz"], [word(rng.randrange(2, 12)) for _ in range(60)] + ["(y)"]
+    want = {}
+    for name in {*calls}:
+        norm = name.partition("(")[0]
+        tests = (lambda k: k == name, lambda k: k.partition("(")[0] == norm, lambda k: norm and (n := k.partition("(")[0]) and (n in norm or norm in n))  # noqa: B023
+        want[name] = next(((k, step) for step, t in enumerate(tests, 1) for k in known if t(k)), (None, None))
+    monkeypatch.setattr(symbols, "FEW", few)
+    monkeypatch.setattr(symbols, "PIECES", 100)
+    got = symbols.found_functions(spark.createDataFrame([(c,) for c in calls], "name string"), spark.createDataFrame(list(enumerate(known)), "place int, key string")).collect()
+    assert {r["name"]: (r["key"], r["step"]) for r in got} == want and len(got) == len(want)
+    long = spark.createDataFrame([("n", word(60))], "name string, norm string")
+    made = symbols._parts(long, spark.createDataFrame([(word(k),) for k in range(1, 40)], "norm string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert max(map(int, re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan))) > 10  # 1,600 pieces
+    assert "HashAggregate" not in plan.split("Broadcast")[0]  # pieces are not grouped
