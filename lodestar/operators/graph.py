@@ -104,11 +104,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     out = None
     while not live.isEmpty():
         colours = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")).checkpoint()
-        while True:
-            offers = live.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        moved = colours
+        while True:  # only nodes whose colour is new offer it
+            offers = live.join(moved.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
             offered = colours.join(offers, "node", "left").select("node", F.least("colour", "offer").alias("colour"), F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved")).checkpoint()
-            colours = offered.drop("moved")
-            if offered.where("moved").isEmpty():
+            colours, moved = offered.drop("moved"), offered.where("moved").drop("moved")
+            if moved.isEmpty():
                 break
         inside = live.join(colours.withColumnRenamed("node", "src"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_other")), "dst")
         inside = inside.where("colour = _other").select("src", "dst", "colour").checkpoint()
@@ -116,7 +117,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         while not front.isEmpty():
             step = front.select(F.col("node").alias("dst")).join(inside, "dst").select(F.col("src").alias("node"), "colour").distinct()
             front = step.join(found.select("node"), "node", "left_anti").checkpoint()
-            found = found.unionByName(front).checkpoint()
+            found = found.unionByName(front)
         out = found if out is None else out.unionByName(found)
         live = inside.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").checkpoint()
     if out is None:

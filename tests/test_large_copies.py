@@ -6,13 +6,15 @@ import re
 
 import pytest
 
-from lodestar.operators import macros, search, symbols
+from lodestar.operators import graph, macros, search, symbols
 from lodestar.plans import scratch
 
+
 @pytest.fixture(scope="module", autouse=True)
 def checkpoints(spark):
     scratch.checkpoints(spark)
 
+
 @pytest.fixture
 def plans(spark, monkeypatch):
     """The plans of what is checkpointed, as they ran."""
@@ -27,6 +29,7 @@ def plans(spark, monkeypatch):
     monkeypatch.setattr(kind, "checkpoint", checkpoint)
     return seen
 
+
 def test_macros_are_not_sent_to_the_driver(spark, plans):
     rng = random.Random(3)
     of = {i: {rng.randrange(40) for _ in range(rng.randrange(3))} for i in range(40)}
@@ -41,6 +44,7 @@ def test_macros_are_not_sent_to_the_driver(spark, plans):
     assert {(r["macro"], r["base"]): r["steps"] for r in got.collect()} == {(f"m{a}", f"m{b}"): n for (a, b), n in want.items()} and got.count() == len(want)
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_parts_of_names_in_tasks_by_their_number(spark, monkeypatch, few):
     rng = random.Random(4)
@@ -89,3 +93,11 @@ def test_scores_of_blocks_of_documents(spark, monkeypatch, words):
     assert none.count() == 0
     if words:
         assert "MapInArrow" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan  # no row for each word and query
+
+
+def test_rings_are_found_with_a_checkpoint_a_step(spark, plans):
+    ring, tail = [(i, (i + 1) % 12) for i in range(12)], [(20, 3), (7, 30), (30, 31), (31, 32), (32, 31)]
+    got = graph.strong_components(spark.createDataFrame(ring + tail, "src int, dst int"))
+    steps = len(plans)
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: 0 for i in range(12)} | {20: 20, 30: 30, 31: 31, 32: 31}
+    assert steps < 52, steps  # 60 when what is found was stored anew at every step
