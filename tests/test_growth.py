@@ -123,3 +123,15 @@ def test_hunks_and_sizes_of_long_sections(spark):
     logical = found._jdf.queryExecution().optimizedPlan().toString()
     below = logical[logical.index("Window [") :]
     assert "Filter" in below or "LocalRelation" in below  # lines without a header go before the window
+
+
+def test_deep_json_takes_few_jobs(spark):
+    """Levels are opened many a round, not one a job."""
+    from lodestar.operators import variants
+
+    deep = '{"a":[' * 10 + '{"k":1}' + "]}" * 10
+    spark.sparkContext.setJobGroup("deep json", "")
+    got = variants.values_of(spark.createDataFrame([(1, deep)], "id int, j string"), "j", "k").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep json"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r[:] for r in got] == [(1, "$" + ".a[0]" * 10 + ".k", "1")] and jobs < 12
