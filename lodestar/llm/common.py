@@ -218,14 +218,16 @@ def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 2_000)
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 100):
-    """Around an action: rows that hold long values come to Python in batches of few rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Around an action: rows that hold long values are read, and come to Python, in batches of few rows."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 @contextmanager
