@@ -12,9 +12,13 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a side table that may be broadcast; a count is taken before, and a shuffled join is used beyond it.
 BROADCAST_ROWS = 1_000_000
+#: Links of a node up to which a component round may gather them in one group.
+HUB = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -43,6 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def local(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """A few rows of the driver as a DataFrame, by Arrow: createDataFrame() of a list starts a second set of Python workers."""
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema), kind)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a stored table that nothing will read any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
@@ -171,32 +181,57 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
 
     Alternating large-star and small-star steps, which settle in a number of rounds that grows with the square of the
     logarithm of the nodes at most; an error is raised should `rounds` not be enough. Each round replaces links by
-    as many or fewer links, minima are pre-aggregated before the shuffle, hubs are joined by broadcast, and every
-    round is written to the shared folder in place of the one before.
+    as many or fewer links and is written to the shared folder in place of the one before. Where nodes have over HUB
+    links, minima are pre-aggregated before the shuffle and hubs are joined by broadcast.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(rounds):
-        if _settled(edges):
+        settled, most = _shape(edges)
+        if settled:
             break
-        both = edges.union(edges.select(F.col("b"), F.col("a")))  # large star: neighbours above a node go to its minimum
-        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "stars")
-        large = stored(spread_join(both, low, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
-        dropped(low)
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")  # small star: those below
-        small = spread_join(large, low, ["a"], "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        old, edges = edges, stored(small.where("a <> b").distinct(), "links")
-        for table in (old, large, low):
+        both = edges.union(edges.select(F.col("b"), F.col("a")))
+        read = []
+        small = _stars(both) if most <= HUB else _hub_stars(both, read)
+        old, edges = edges, stored(small, "links")
+        for table in (old, *read):
             dropped(table)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").union(edges.select("b", "b").distinct())
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether links(a, b) with b < a are stars already: every node has one link downwards at most, or only links from above."""
+def _stars(both: DataFrame) -> DataFrame:
+    """A large and a small star on links that stand in both directions, where no node has many: one job, nothing stored.
+
+    The large star gives no node more rows than it has links, so the small star's groups are no larger.
+    """
+    of = Window.partitionBy("a")
+    large = both.withColumn("m", F.least(F.min("b").over(of), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return _below(large.withColumn("m", F.min("b").over(of)))
+
+
+def _hub_stars(both: DataFrame, read: list[DataFrame]) -> DataFrame:
+    """_stars() where some nodes have many links: minima are aggregated first and joined, to hubs by broadcast. read gets the tables that it reads."""
+    low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "stars")
+    large = stored(spread_join(both, low, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
+    dropped(low)
+    low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
+    read += [large, low]
+    return _below(spread_join(large, low, ["a"], "n"))
+
+
+def _below(large: DataFrame) -> DataFrame:
+    """The small star of links(a, b, m): a and its smaller neighbours b go to m, the least of them."""
+    return large.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether links(a, b) with b < a are stars already (every node has one link downwards at most, or only links from
+    above), and the most links that a node has."""
     ends = edges.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
-    both = ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return both.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
+    both = ends.groupBy("a").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    loose, most = both.agg(F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))), F.max(F.col("down") + F.col("up"))).first()
+    return not loose, most or 0
 
 
 def ranks(df: DataFrame, by: str, order: list[str], name: str, per: int = 2_000) -> DataFrame:

@@ -153,7 +153,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     owners = common.partitions(spark)
     name, path = f"chunks_{uuid.uuid4().hex}", f"{common.shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    chunks(rows, owners).write.bucketBy(owners, "part").option("path", path).format("parquet").saveAsTable(name)  # so that chunks need no shuffle
+    with common.small_batches(spark, 500):
+        chunks(rows, owners).write.bucketBy(owners, "part").option("path", path).format("parquet").saveAsTable(name)  # so that chunks need no shuffle
     table = spark.table(name)
     maps = answers(table.where("code IS NOT NULL").select("part", "owner", "at", "n", "k", "code"), owners)
     every = common.stored(marked(table.where("code IS NULL").select("part", "uid", "row", "doc_id", "sha"), maps), "marked")
@@ -167,7 +168,9 @@ def grouped(rows: DataFrame) -> DataFrame:
     same = texts.groupBy("sha", "body").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")).drop("body")
     sized = same.groupBy("sha").agg(F.count("*").alias("texts"), F.first("group_size").alias("group_size"), F.first("keep").alias("keep"))
     # two different texts under one SHA-256 would make two groups of one hash
-    sized = common.stored(sized.select("sha", "keep", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("group_size")), "groups")
+    sized = sized.select("sha", "keep", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("group_size"))
+    with common.small_batches(spark, 500):
+        sized = common.stored(sized, "groups")
     dup = common.spread_join(dup, sized, ["sha"], "group_size")
     dup = dup.select("row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size", (F.col("keep.row") == F.col("row")).alias("kept"), "sha")
     one = every.where("NOT hit").select("row", "doc_id", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")

@@ -94,16 +94,17 @@ def _mixed(spark: SparkSession, docs: DataFrame, cycle, share: float, cap: int,
         "row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc.doc_id", "doc.source", "doc.text").alias("key"),
     )
-    rows = common.stored(rows, "sizes")
+    with common.small_batches(spark, 500):
+        rows = common.stored(rows, "sizes")
     by = {r["source"]: (r["n"], r["of"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("of")).collect()}  # a row per source
     names = sorted(by, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     goal = targets({s: by[s][0] for s in names}, cycle, share, float(cap))
     kind = "_source string, src int, source_size long, target double, of long"
-    known = spark.createDataFrame([(s, i, int(by[s][0]), float(goal[s]), by[s][1]) for i, s in enumerate(names)], kind)
+    known = common.local(spark, [(s, i, int(by[s][0]), float(goal[s]), by[s][1]) for i, s in enumerate(names)], kind)
     known = known.hint("broadcast" if len(names) <= 10_000 else "merge")
     rows = rows.join(known, rows["source"].eqNullSafe(known["_source"])).drop("_source")
     if not sum(goal.values()):
-        none = spark.createDataFrame([], "slot long, row long, epoch int, first long, words long")
+        none = common.local(spark, [], "slot long, row long, epoch int, first long, words long")
         return rows, none
     lone = stream(rows.where("size > 0").select("row", "key", "src", "size", "source_size", "of"), seed)
     lone = lone.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))

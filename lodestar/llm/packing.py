@@ -188,7 +188,8 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, large: float =
 
 def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY) -> DataFrame:
     """pieces() with sequence_id and offset."""
-    cut = common.stored(pieces(docs, capacity, name).withColumn("_u", F.monotonically_increasing_id()), "pieces")
+    with common.small_batches(spark, 2_000):
+        cut = common.stored(pieces(docs, capacity, name).withColumn("_u", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row per length
     runs, taken, base = [], defaultdict(int), 0
     for lengths, n in planned(histogram, capacity):
@@ -201,7 +202,7 @@ def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, name:
             runs.append((x, taken[x], taken[x] + n * len(offsets), base, offsets))
             taken[x] += n * len(offsets)
         base += n
-    plan = spark.createDataFrame(runs, "length long, lo long, hi long, base long, at array<long>")
+    plan = common.local(spark, runs, "length long, lo long, hi long, base long, at array<long>")
     ranked = common.ranks(cut, "length", ["_u"], "_k")
     k = F.col("_k") - F.col("lo")
     plan = plan.hint("broadcast" if len(runs) <= common.BROADCAST_ROWS else "merge")

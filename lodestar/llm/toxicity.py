@@ -132,7 +132,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, float]:
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["toxic", "f"])
 
     wide = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    got = wide.mapInArrow(run, "toxic int, f array<int>").toArrow()
+    with common.small_batches(docs.sparkSession, 500):
+        got = wide.mapInArrow(run, "toxic int, f array<int>").toArrow()
     sides = [parted(got.filter(mask).column("f").combine_chunks()) for mask in (pc.is_valid(got.column("toxic")), pc.is_null(got.column("toxic")))]
     return *sides, prior
 
@@ -185,7 +186,8 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: flo
     rows = common.numbered(docs, "toxicity-rows")
     texts = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
     found = scores(spark, texts, labels, train_on=rows.select("doc.doc_id", "doc.text"))
-    gone = common.stored(found.where(F.col("score") >= threshold).select(F.col("doc_id").alias("row")), "toxic")
+    with common.small_batches(spark, 500):
+        gone = common.stored(found.where(F.col("score") >= threshold).select(F.col("doc_id").alias("row")), "toxic")
     return common.semi_by(rows, gone, ["row"], "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
