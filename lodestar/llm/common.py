@@ -265,6 +265,16 @@ def small_batches(spark: SparkSession, rows: int = 100):
             spark.conf.set(name, value)
 
 
+def few_rows(spark: SparkSession, rows: int = 500) -> None:
+    """From here on this session reads Parquet in batches of at most `rows`, for results that are read when they are written.
+
+    Batches of Spark's default size that hold whole texts are arrays of many MB, each of which makes an executor's heap grow.
+    """
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def returned():
     """Around the work on a partition: memory that it no longer needs goes back to the system, not to the worker's heap."""

@@ -28,6 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 LARGE = 0.1  # of the capacity
 GROUPS = 64
+RUN = 1 << 20  # bytes of texts that are encoded together; a worker's memory grows with it
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, end: int = 0) -> DataFrame:
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, en
             code = tokens.encoder(name)
             for b in batches:
                 out = ([], [], [], [], [])
-                for first, raw, offsets in tokens.runs(b.column("text")):
+                for first, raw, offsets in tokens.runs(b.column("text"), RUN):
                     ids, n = code.encoded(raw, offsets)
                     ends = np.cumsum(n + 1)
                     full = np.full(len(ids) + len(n), end, "<u4")

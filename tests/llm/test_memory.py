@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark import SparkContext
 
+import corpus_pipeline
 from lodestar.llm import common, exact_dedup, mixing, packing, toxicity
 
 
@@ -67,3 +68,26 @@ def test_texts_come_in_small_batches(spark, monkeypatch):
     mixing.keep(spark, docs).count()
     packing.packed(spark, docs).count()
     assert all(seen[name] <= most for name, most in (("toxic", 500), ("groups", 500), ("sizes", 500), ("pieces", 2_000)))
+
+
+def test_results_are_read_in_small_batches(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(name)
+    docs = common.stored(spark.createDataFrame([(i, "s", f"text {i % 7}") for i in range(20)], "doc_id long, source string, text string"), "given")
+    try:
+        for stage in ("exact", "near", "mixed", "packed"):
+            spark.conf.unset(name)
+            assert getattr(corpus_pipeline, stage)(spark, docs, "").count() and int(spark.conf.get(name)) == 500
+        spark.conf.set(name, "100")
+        corpus_pipeline.exact(spark, docs, "")
+        assert spark.conf.get(name) == "100"  # a smaller size stays
+    finally:
+        spark.conf.unset(name)
+
+
+def test_pieces_are_encoded_in_runs_of_a_megabyte(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words of a text " * 9_000) for i in range(12)], "doc_id long, text string").coalesce(1)
+    whole = sorted(packing.pieces(docs).collect())
+    assert packing.RUN == 1 << 20
+    monkeypatch.setattr(packing, "RUN", 4 << 20)
+    assert whole == sorted(packing.pieces(docs).collect())
