@@ -18,7 +18,6 @@ WORDS = r"[\p{L}\p{N}]+"
 #: Distinct words whose stems may be broadcast, and words of queries; they are counted before.
 BROADCAST_WORDS = 200_000
 BUCKETS = 64
-PHRASES = 12  # of one query
 K1, B = 1.2, 0.75
 
 
@@ -78,7 +77,7 @@ def compacted(spark: SparkSession, path: str, to: str) -> None:
 
 
 def phrases(queries: DataFrame, stems: bool = True, whole: bool = True) -> DataFrame:
-    """(q, phrase, size, at, term): a phrase for each part of queries(q, query) between white space, at most PHRASES.
+    """(q, phrase, size, at, term): a phrase for each part of queries(q, query) between white space, however many.
 
     Signs but the underscore part a phrase's words, words of one character are left out, and parts without words do not count.
     The index parts words at underscores too, so that they stand for neighbours there. With whole=False every
@@ -86,7 +85,7 @@ def phrases(queries: DataFrame, stems: bool = True, whole: bool = True) -> DataF
     """
     cleaned = F.filter(F.transform(F.split(F.trim("query"), r"\s+"), lambda g: F.array_join(F.filter(F.split(F.regexp_replace(g, r"[^\p{L}\p{N}_]+", " "), " "), lambda w: F.length(w) > 1), " ")), lambda p: p != "")
     parts = cleaned if whole else F.array_distinct(F.flatten(F.transform(cleaned, split_words)))
-    each = queries.select("q", F.posexplode(F.slice(parts, 1, PHRASES)).alias("phrase", "p")).withColumn("w", split_words(F.col("p"))).where(F.size("w") > 0)
+    each = queries.select("q", F.posexplode(parts).alias("phrase", "p")).withColumn("w", split_words(F.col("p"))).where(F.size("w") > 0)
     return terms_of(each.select("q", "phrase", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")), stems)
 
 

@@ -77,7 +77,7 @@ def _search_sql(fields: list[str], k: int, stems: bool, whole: bool, where: str,
     vocabulary = "words AS (SELECT DISTINCT word FROM tok UNION SELECT DISTINCT word FROM pw),\n" + (_stem_sql() if stems else "stems AS (SELECT word, word AS term FROM words)")
     return rf"""WITH {ENTRIES_SQL}, {QUERIES_SQL},
 tok AS MATERIALIZED (SELECT id, field, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM ({cols})),
-ph AS (SELECT q, subject, unnest(list_slice(p, 1, 12)) AS p, generate_subscripts(list_slice(p, 1, 12), 1) AS phrase FROM (SELECT q, subject, {parts} AS p FROM queries)),
+ph AS (SELECT q, subject, unnest(p) AS p, generate_subscripts(p, 1) AS phrase FROM (SELECT q, subject, {parts} AS p FROM queries)),
 pw AS MATERIALIZED (SELECT q, phrase, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS off FROM (SELECT *, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+') AS w FROM ph)),
 {vocabulary},
 t AS MATERIALIZED (SELECT id, field, pos, term FROM tok JOIN stems USING (word)), pt AS (SELECT q, phrase, size, off, term FROM pw JOIN stems USING (word)),
