@@ -47,3 +47,9 @@ def test_any_word_of_long_passages(spark, tables):
     got = sorted(r[:] for r in queries.QUERIES["search_any_word"](spark, tables[0]).select("q", "id", "rank").collect())
     assert got == sorted(tables[1].sql(f"SELECT q, id, rank FROM ({queries.ORACLE['search_any_word']})").fetchall())
     assert [r for r in got if r[0] >= 0] == [(q, i, rank) for q in range(20) for rank, i in enumerate([1, 2], 1)]  # of two entries, so that words of one weigh nothing: by id
+
+
+def test_phrases_of_long_passages(spark, tables):
+    got = sorted(r[:] for r in queries.QUERIES["search_knowledge"](spark, tables[0]).select("q", "id", "rank").collect())
+    assert got == sorted(tables[1].sql(f"SELECT q, id, rank FROM ({queries.ORACLE['search_knowledge']})").fetchall())
+    assert [r for r in got if r[0] >= 0] == [(1, 1, 1), (2, 2, 1)]  # by subject: the pair side by side in the first, the word in the second
